@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import exact_dedup, near_dedup
+from edgeloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -21,9 +31,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op4_bpe, op5_attention_quality, op6_minhash_near_dedup, op9_exact_dedup, op10_temperature_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op6_minhash_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_temperature_mixing": mixing.SQL}
