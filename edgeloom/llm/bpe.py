@@ -136,6 +136,10 @@ class Bpe(dict):
                 out.extend(chain.from_iterable(self._plain(piece)))
         return out
 
+    def encode_plain(self, text: str | None) -> list[int]:
+        """As encode, but that strings of special tokens are ordinary text."""
+        return list(chain.from_iterable(self._plain(text or "")))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 

@@ -8,13 +8,28 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from edgeloom.llm import ann, bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(more))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +42,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +63,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_attention_quality, op6_minhash_near_dedup, op9_exact_dedup, op10_temperature_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_compression_language, op3_chat_formatting, op4_bpe, op5_attention_quality, op6_minhash_near_dedup, op7_boosted_pii, op8_additive_quantisation, op9_exact_dedup, op10_temperature_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_temperature_mixing": mixing.SQL}
+    return {"op3_chat_formatting": chat.SQL, "op6_minhash_near_dedup": near_dedup.SQL, "op8_additive_quantisation": ann.SQL, "op9_exact_dedup": exact_dedup.SQL, "op10_temperature_mixing": mixing.SQL}
