@@ -25,7 +25,7 @@ def timestamp_ms(text: Column) -> Column:
 def read_csv(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """The raw columns as text. Rows of another number of columns are dropped."""
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(RAW_SCHEMA).option("header", False).option("mode", "DROPMALFORMED").option("escape", '"').csv(path)
+    return reader.schema(RAW_SCHEMA).option("header", False).option("mode", "DROPMALFORMED").option("columnPruning", False).option("escape", '"').csv(path)
 
 
 def typed(raw: DataFrame) -> DataFrame:
