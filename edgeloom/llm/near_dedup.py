@@ -8,8 +8,9 @@ are missed with probability of about ``2 * (1 - s**k)**m``: 4e-7 at 0.85 and 1e-
 1. Texts give (doc_id, set size, 128-bit key of the set, sketches). Equal sets become one class at once, so thousands
    of copies cost one row.
 2. Sketches that no other class has are put aside before keys are formed; that loses no pair.
-3. In each table cell every class is compared with the smallest one. What stays in different components after that
-   is compared pairwise across components; cells whose members are already connected need no more.
+3. In each table cell every class is compared with the smallest one. Cells whose members are connected after that need
+   no more. The members of the others are compared across components in blocks of bounded size, which give out no more
+   links than connect them.
 4. A pair is confirmed on the full sets of 64-bit shingle hashes. Pairs that agree in fewer than ``least`` of the
    2 * m sketches aren't fetched; a pair over the threshold has about 17 of 24 (fewer than 6: under 1e-7).
 5. Confirmed links give connected components.
@@ -35,6 +36,8 @@ from edgeloom.llm.components import components
 
 #: Classes are looked up by broadcast up to this many ids of 8 bytes; beyond, the texts are shuffled.
 BROADCAST_IDS = 400_000
+#: Sets in a block of those that are compared all with all.
+BLOCK = 256
 #: Words that a worker remembers the hash of.
 WORDS = 300_000
 
@@ -127,18 +130,71 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(F.size(F.array_intersect("su", "sv")) >= least).select("u", "v")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of pairs(u, v) that are similar enough, confirmed on the sets of the documents of these ids."""
-    ids = pairs.select(F.col("u").alias("__cid")).unionByName(pairs.select(F.col("v").alias("__cid"))).distinct()
-    ids, _ = scratch.save(ids, "ids")
+def _set_table(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, hashes): the shingle sets of the documents of these ids(__cid)."""
+    ids, _ = scratch.save(ids.distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__cid"), "left_semi")
-    sets, _ = scratch.save(texts.mapInPandas(_sets(words), "cid long, hashes binary"), "sets")
+    return scratch.save(texts.mapInPandas(_sets(words), "cid long, hashes binary"), "sets")[0]
+
+
+def _links(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of pairs(u, v) that are similar enough, confirmed on the sets of the documents of these ids."""
+    sets = _set_table(pairs.select(F.col("u").alias("__cid")).unionByName(pairs.select(F.col("v").alias("__cid"))), docs, words)
     x = sets.select(F.col("cid").alias("u"), F.col("hashes").alias("x"))
     y = sets.select(F.col("cid").alias("v"), F.col("hashes").alias("y"))
     return pairs.join(x, "u").join(y, "v").mapInPandas(_confirmed(num, den), "u long, v long")
 
 
+def _across(num: int, den: int):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(h, np.uint64) for h in g["hashes"]]
+        size, cid, comp = np.array([len(x) for x in sets]), g["cid"].to_numpy(), g["comp"].to_numpy()
+        x = y = np.arange(len(g))
+        if g["p"].iat[0] != g["q"].iat[0]:
+            x, y = np.flatnonzero(g["b"] == g["p"]), np.flatnonzero(g["b"] == g["q"])
+        _, inv, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, common = np.repeat(np.arange(len(g)), size), seen > 1  # a shingle of one set only adds to no intersection
+        row, col = row[common[inv]], (np.cumsum(common) - 1)[inv[common[inv]]]
+        both = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, int(common.sum()), 8192):
+            here, has = (col >= at) & (col < at + 8192), np.zeros((len(g), 8192), np.float32)
+            has[row[here], col[here] - at] = 1
+            both += has[x] @ has[y].T
+        ok = (den * both >= num * (size[x][:, None] + size[y][None] - both)) & (comp[x][:, None] != comp[y][None])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.setdefault(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, j in np.argwhere(ok):  # of many links between components, those of a spanning forest will do
+            a, b = find(comp[x[i]]), find(comp[y[j]])
+            if a != b:
+                root[a] = b
+                out.append((cid[x[i]], cid[y[j]]))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    return run
+
+
+def _links_across(left: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links between the components of left(cid, comp): all pairs that share a sketch of the first collection, in blocks of bounded size.
+
+    Only links come out of a block, and of those no more than connect it; the sets of a block are compared in one matrix product.
+    """
+    sets = _set_table(left.select(F.col("cid").alias("__cid")), docs, words)
+    bands = left.join(classes.select("cid", "sketches"), "cid").select("cid", "comp", F.explode("sketches").alias("band")).where("band & 1 = 0").distinct()
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    full = full.select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    own = bands.join(full, "band").withColumn("b", F.pmod(F.xxhash64("cid"), "blocks"))
+    own = own.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = own.select("cid", "comp", "band", "b", F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q"))
+    return own.join(sets, "cid").groupBy("band", "p", "q").applyInPandas(_across(num, den), "u long, v long")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m: int = 12, k: int = 2, least: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
@@ -165,15 +221,12 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m
     links, _ = scratch.save(_links(stars, docs, words, num, den), "links")
     comps, _ = scratch.save(components(links), "components")
 
-    placed = cells.join(comps, cells["cid"] == comps["node"], "left").select("cid", "cell", F.coalesce("root", "cid").alias("comp"))
+    # In a cell that still holds several components, without its smallest class, which has been compared with all.
+    placed = cells.join(low, "cell").where("cid <> u").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "cell", F.coalesce("root", "cid").alias("comp"))
     open_ = placed.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    # A cell that is still open: pairs across its components, but for those with its smallest class, which are done.
-    left, _ = scratch.save(placed.join(open_, "cell").join(low, "cell").where("cid <> u").select("cell", "cid", "comp"), "open")
-    x, y = left, left.select("cell", F.col("cid").alias("v"), F.col("comp").alias("comp_v"))
-    rest = x.join(y, "cell").where((F.col("comp") < F.col("comp_v"))).select(F.least("cid", "v").alias("u"), F.greatest("cid", "v").alias("v")).distinct()
-    rest, _ = scratch.save(_plausible(rest.join(stars, ["u", "v"], "left_anti"), classes, least), "rest")
-    if rest.take(1):
-        more, _ = scratch.save(_links(rest, docs, words, num, den), "links")
+    left, _ = scratch.save(placed.join(open_, "cell").select("cid", "comp").distinct(), "open")
+    if left.take(1):
+        more, _ = scratch.save(_links_across(left, classes, docs, words, num, den), "links")
         comps, _ = scratch.save(components(links.unionByName(more)), "components")
 
     named = classes.join(comps, classes["cid"] == comps["node"], "left").select("set_key", F.coalesce("root", "cid").alias("component_id"))
