@@ -1,7 +1,9 @@
 """All occurrences of a pattern, as one plan of joins.
 
-Events are joined in the planner's order. A join's keys are the entities bound already; order, window, distinct
-entities and distinct event ids are its other conditions, so that they cut at every step. Only ids and times travel.
+Events are joined in the planner's order. A join's keys are the entities bound already and a cell of time; order,
+window, distinct entities and distinct event ids are its other conditions, so that they cut at every step. Only ids and
+times travel. Cells are a window wide: an event has one by its start, a partial match those in which its next event can
+start, three at most. So an entity of very many events is dealt over tasks, and pairs further apart are never formed.
 """
 
 from __future__ import annotations
@@ -34,19 +36,31 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, tables: dict[int, DataFrame] | None = None) -> DataFrame:
+def _extreme(pick, columns: list[Column]) -> Column:
+    return pick(*columns) if len(columns) > 1 else columns[0]
+
+
+def _cell(ms: Column, window_ms: int) -> Column:
+    return F.floor(ms / window_ms)
+
+
+def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, flow_order: str = "all", tables: dict[int, DataFrame] | None = None) -> DataFrame:
     """start_ms, end_ms, and for each event i: ids_i, src_i, dst_i, s_i, t_i; for each entity j: v_j.
 
-    event_uniqueness: ``global``, no input event is used twice; ``chain``, not within a chain. tables: event tables to be
-    used instead of the edges', by index.
+    event_uniqueness: ``global``, no input event is used twice; ``chain``, not within a chain. flow_order: ``all``, what
+    comes before a flow ends before the flow departs; ``chain``, within a chain only before it arrives. tables: event
+    tables to be used instead of the edges', by index.
     """
     if window_ms <= 0:
         raise ValueError("the window must be positive")
     if event_uniqueness not in ("global", "chain"):
         raise ValueError(event_uniqueness)
+    if flow_order not in ("all", "chain"):
+        raise ValueError(flow_order)
     p = p.optimize()
     chain_of = {i: n for n, c in enumerate(decompose(p)) for i in c}
     single = lambda i: p.events[i].kind == "default"
+    loose = lambda a, b: flow_order == "chain" and p.events[b].kind == "flow" and chain_of[a] == chain_of[b]
     out: DataFrame | None = None
     bound: list[int] = []
     done: list[int] = []
@@ -60,11 +74,19 @@ def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str =
         else:
             keys = [F.col(f"v_{v}") == F.col(c) for v, c in ends.items() if v in bound]
             other = [F.col(f"v_{w}") != F.col(c) for v, c in ends.items() if v not in bound for w in bound]
-            order = [F.col(f"t_{q}") <= F.col(f"s_{i}") for q in e.parents if q in done] + [F.col(f"t_{i}") <= F.col(f"s_{c}") for c in p.children(i) if c in done]
+            before = [q for q in e.parents if q in done and not loose(q, i)]
+            after = [c for c in p.children(i) if c in done and not loose(i, c)]
+            order = [F.col(f"t_{q}") <= F.col(f"s_{i}") for q in before] + [F.col(f"t_{i}") <= F.col(f"s_{c}") for c in after]
+            order += [F.col(f"t_{q}") <= F.col(f"t_{i}") for q in e.parents if q in done and loose(q, i)]
+            order += [F.col(f"t_{i}") <= F.col(f"t_{c}") for c in p.children(i) if c in done and loose(i, c)]
             span = F.greatest("end_ms", f"t_{i}") - F.least("start_ms", f"s_{i}") <= window_ms
             rivals = [q for q in done if e.kind != "flow" and p.events[q].kind != "flow" and (event_uniqueness == "global" or chain_of[q] == chain_of[i])]
             unique = [F.col(f"ids_{q}")[0] != F.col(f"ids_{i}")[0] if single(q) and single(i) else ~F.arrays_overlap(f"ids_{q}", f"ids_{i}") for q in rivals]
-            out = out.join(t, _all([*keys, *other, *order, span, *unique]))
+            low = _extreme(F.greatest, [F.col("end_ms") - window_ms, *(F.col(f"t_{q}") for q in before)])
+            high = _extreme(F.least, [F.col("start_ms") + window_ms, *(F.col(f"s_{c}") for c in after)])
+            out = out.where(low <= high).withColumn("cell", F.explode(F.sequence(_cell(low, window_ms), _cell(high, window_ms))))
+            t = t.withColumn("cell_of", _cell(F.col(f"s_{i}"), window_ms))
+            out = out.join(t, _all([*keys, F.col("cell") == F.col("cell_of"), *other, *order, span, *unique])).drop("cell", "cell_of")
             out = out.withColumn("start_ms", F.least("start_ms", f"s_{i}")).withColumn("end_ms", F.greatest("end_ms", f"t_{i}"))
         for v, c in ends.items():
             if v not in bound:

@@ -2,7 +2,9 @@
 
 A fix-point of DataFrame joins. A round extends what the last one found by one arc, keeps the latest departure of each
 (src, dst, arrive), and drops what an earlier or equal arrival with as late a departure makes useless; that is all that
-extensions or emissions need, and it makes cycles at one instant end. Rounds are written to the shared folder.
+extensions or emissions need, and it makes cycles at one instant end. Rounds are written to the shared folder. An arc
+belongs to the cell of time, a window wide, that it lies in, and what is extended to the two that its next arc can lie
+in, so that a node of very many arcs is dealt over tasks.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ def reach(edges: DataFrame, window_ms: int, sources: DataFrame | None = None) ->
 
     sources(entity_id) limits where flows start. Arcs from a node to itself count for nothing.
     """
-    arcs, _ = scratch.save(edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("ts_ms").alias("t")).distinct(), "arcs")
+    arcs, _ = scratch.save(edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("ts_ms").alias("t")).distinct().withColumn("cell", F.floor(F.col("t") / window_ms)), "arcs")
     first = arcs if sources is None else arcs.join(sources, F.col("a") == F.col("entity_id"), "left_semi")
     known, where = scratch.save(first.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("depart"), F.col("t").alias("arrive"), F.lit(0).alias("round")), "reach")
     step = 0
     while True:
-        new = known.where(F.col("round") == step)
-        more = new.join(arcs, (F.col("dst") == F.col("a")) & (F.col("t") >= F.col("arrive")) & (F.col("t") - F.col("depart") <= window_ms) & (F.col("b") != F.col("src")))
+        cells = F.sequence(F.floor(F.col("arrive") / window_ms), F.floor((F.col("depart") + window_ms) / window_ms))
+        new = known.where(F.col("round") == step).withColumn("near", F.explode(cells))
+        more = new.join(arcs, (F.col("dst") == F.col("a")) & (F.col("near") == F.col("cell")) & (F.col("t") >= F.col("arrive")) & (F.col("t") - F.col("depart") <= window_ms) & (F.col("b") != F.col("src")))
         more = more.select("src", F.col("b").alias("dst"), "depart", F.col("t").alias("arrive"), F.lit(step + 1).alias("round"))
         old, (known, now) = where, scratch.save(_useful(known.unionByName(more.distinct())), "reach")
         scratch.drop(known.sparkSession, old)

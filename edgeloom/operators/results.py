@@ -22,19 +22,25 @@ def events_text(p: Pattern) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", *[_event_text(p, i) for i in range(len(p.events))]), F.lit("]"))
 
 
-def distinct(matches: DataFrame, p: Pattern) -> DataFrame:
-    """start_ms, end_ms, events and the columns of matches: of matches of equal events the one that ends, then starts, first."""
+def distinct(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFrame:
+    """start_ms, end_ms, events and the columns of matches: of matches of equal events the one that ends, then starts, first.
+
+    dedup_key: ``all``; or ``ids``, by which matches that differ in their flows only are equal.
+    """
+    if dedup_key not in ("all", "ids"):
+        raise ValueError(dedup_key)
     keyed = matches.withColumn("events", events_text(p))
-    first = Window.partitionBy("events").orderBy("end_ms", "start_ms", *[f"s_{i}" for i in range(len(p.events))])
+    key = ["events"] if dedup_key == "all" else [f"ids_{i}" for i in range(len(p.events))]
+    first = Window.partitionBy(*key).orderBy("end_ms", "start_ms", *[f"s_{i}" for i in range(len(p.events))])
     return keyed.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
-def flat(matches: DataFrame, p: Pattern) -> DataFrame:
+def flat(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFrame:
     """start_ms, end_ms, events."""
-    return distinct(matches, p).select("start_ms", "end_ms", "events")
+    return distinct(matches, p, dedup_key).select("start_ms", "end_ms", "events")
 
 
-def nested(matches: DataFrame, p: Pattern) -> DataFrame:
+def nested(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFrame:
     """match_id, start_ms, end_ms, events (pattern_event, kind, event_ids, src, dst, start_ms, end_ms), entities (pattern_entity, entity_id)."""
     events = F.array(*[
         F.struct(F.lit(i).alias("pattern_event"), F.lit(e.kind).alias("kind"), F.col(f"ids_{i}").alias("event_ids"), F.col(f"src_{i}").alias("src"), F.col(f"dst_{i}").alias("dst"), F.col(f"s_{i}").alias("start_ms"), F.col(f"t_{i}").alias("end_ms"))
@@ -42,7 +48,7 @@ def nested(matches: DataFrame, p: Pattern) -> DataFrame:
     ])
     used = sorted({v for e in p.events for v in (e.subject, e.object)})
     entities = F.array(*[F.struct(F.lit(v).alias("pattern_entity"), F.col(f"v_{v}").alias("entity_id")) for v in used])
-    rows = distinct(matches, p)
+    rows = distinct(matches, p, dedup_key)
     return rows.select(F.sha2(rows["events"], 256).alias("match_id"), "start_ms", "end_ms", events.alias("events"), entities.alias("entities"))
 
 
@@ -50,9 +56,9 @@ def _seconds(ms: Column) -> Column:
     return F.concat(F.floor(ms / 1000).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
-def rendered(matches: DataFrame, p: Pattern) -> DataFrame:
+def rendered(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFrame:
     """line: ``<t0, t1>[...]`` with exact milliseconds."""
-    return flat(matches, p).select(F.concat(F.lit("<"), _seconds(F.col("start_ms")), F.lit(", "), _seconds(F.col("end_ms")), F.lit(">"), F.col("events")).alias("line"))
+    return flat(matches, p, dedup_key).select(F.concat(F.lit("<"), _seconds(F.col("start_ms")), F.lit(", "), _seconds(F.col("end_ms")), F.lit(">"), F.col("events")).alias("line"))
 
 
 def parse_answers(lines: DataFrame) -> DataFrame:
