@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom import api
+from edgeloom import api, scratch
 from edgeloom.operators import candidates, compose, flow, frequency, results
 from edgeloom.plans.pattern import Pattern
 from edgeloom.sources import edges as src
+from edgeloom.streaming import front, joined
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -33,9 +34,9 @@ def _sig(column: str, signature: str, regex: bool) -> str:
     return f"regexp_full_match({column}, '{signature}')" if regex else f"{column} = '{signature}'"
 
 
-def pattern_sql(p: Pattern, window_ms: int, unique: bool = True, last: str = "SELECT start_ms, end_ms, events FROM firsts") -> str:
+def pattern_sql(p: Pattern, window_ms: int, unique: bool = True, last: str = "SELECT start_ms, end_ms, events FROM firsts", view: str = EDGES_SQL) -> str:
     """DuckDB SQL for the matches of a pattern in the edge view."""
-    p, ctes, where, text = p.optimize(), [EDGES_SQL], [], []
+    p, ctes, where, text = p.optimize(), [view], [], []
     n = range(len(p.events))
     for i in n:
         e = p.events[i]
@@ -95,6 +96,7 @@ PATTERNS: dict[str, tuple[Pattern, int, dict]] = {
     "pat_partial_order_dag": (_graph([KEY, USER, KEY, KEY], [(0, 1, "view"), (1, 2, "purchase"), (1, 3, "signup")], (0, 1), (0, 2)), 4 * HOUR, {}),
     "pat_event_uniqueness_global": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {}),
     "pat_event_uniqueness_chain": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {"event_uniqueness": "chain"}),
+    "pat_window_inclusive": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), 1_000_000, {}),
     "pat_entity_injective": (_graph([KEY, USER, KEY], [(0, 1, "click"), (2, 1, "click")], (0, 1)), 2 * HOUR, {}),
     "pat_multi_chain_join": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), DAY, {}),
     "pat_left_deep_ablation": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), DAY, {"left_deep": True}),
@@ -103,6 +105,7 @@ PATTERNS: dict[str, tuple[Pattern, int, dict]] = {
     "freq_two_in_pattern": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)).frequency(0, 2).frequency(1, 2), 30 * DAY, {}),
     "freq_one_rewrite": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)).frequency(0, 1), 7 * DAY, {}),
     "flow_seed": (_graph([KEY, KEY], [(0, 1, "")]).flow(0), HOUR, {}),
+    "flow_window": (_graph([KEY, USER], [(0, 1, "")]).flow(0), HOUR // 4, {}),
     "flow_after_parent": (_graph([USER, KEY, USER], [(0, 1, "purchase"), (1, 2, "")], (0, 1)).flow(1), HOUR, {}),
     "flow_then_event": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "click")], (0, 1)).flow(0), HOUR, {}),
     "freq_and_flow_combined": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "view|click")], (0, 1)).flow(0).frequency(1, 2), 12 * HOUR, {}),
@@ -141,6 +144,43 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return src.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+
+
+def _streamed(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    p, window, how = PATTERNS[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        where = scratch.path(spark, "stream")
+        front.start(_stream(spark, d), p, window, where, **how).awaitTermination()
+        return front.found(spark, where).unionByName(front.rest(spark, where, p, window, **how))
+
+    return run
+
+
+def _stream_joined(spark: SparkSession, d: str) -> DataFrame:
+    p, window, _ = PATTERNS["pat_path3"]
+    where = scratch.path(spark, "joined")
+    out = joined.match(_stream(spark, d), p, window)
+    out.writeStream.format("parquet").option("path", f"{where}/found").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{where}/found")
+
+
+def _shipped(spark: SparkSession, d: str) -> DataFrame:
+    return api.match(src.from_lineitem(spark.read.parquet(f"{d}/lineitem.parquet")), *SHIPPED)
+
+
+STREAMED = {"stream_default_pattern": "pat_two_step_shared_object", "stream_flow_freq": "freq_and_flow_combined"}
+SHIPPED = (Pattern.from_graph(["Supplier", "Part", "Order"], [(0, 1, "supply"), (2, 1, "ship_R")], use_regex=False).before(0, 1).frequency(0, 2), 30 * DAY)
+LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms FROM lineitem),
+numbered AS (SELECT *, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, ts_ms) AS line FROM lines),
+edges AS (SELECT ts_ms, id AS seq, id AS event_id, event_sig, subject_id, subject_sig, l_partkey + 3000000000 AS object_id, 'Part' AS object_sig FROM (
+  SELECT *, ('0x' || left(md5('ship|' || line), 15))::BIGINT AS id, 'ship_' || l_returnflag AS event_sig, l_orderkey + 2000000000 AS subject_id, 'Order' AS subject_sig FROM numbered
+  UNION ALL SELECT *, ('0x' || left(md5('supply|' || line), 15))::BIGINT, 'supply', l_suppkey + 4000000000, 'Supplier' FROM numbered))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     p, window, _ = TWO_STEP
     two = lambda s, d: compose.match(graph(s, d), p, window)
@@ -148,6 +188,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "edges_from_events": graph,
         "edges_from_orders": lambda s, d: src.from_orders(s.read.parquet(f"{d}/orders.parquet"), s.read.parquet(f"{d}/customer.parquet")),
+        "edges_from_lineitem": lambda s, d: src.from_lineitem(s.read.parquet(f"{d}/lineitem.parquet")),
+        "lineitem_freq_then_ship": _shipped,
+        "stream_joined_path3": _stream_joined,
         "edges_interval_dup": _intervals,
         "timestamp_to_ms": _times,
         "sig_regex_filter": lambda s, d: graph(s, d).where(candidates.matches(F.col("event_sig"), "(?:pur|sig).*", True)),
@@ -161,7 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_count_by_pattern": _counts,
         "render_match": lambda s, d: api.match(graph(s, d), p, window, "text"),
         "match_nested": lambda s, d: api.match(graph(s, d), p, window, "nested").select("match_id", "start_ms", "end_ms", F.col("events")[0]["event_ids"][0].alias("first_event"), F.col("entities")[1]["entity_id"].alias("user")),
-    } | {name: _pattern(name) for name in PATTERNS}
+    } | {name: _pattern(name) for name in PATTERNS} | {name: _streamed(of) for name, of in STREAMED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -173,6 +216,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "edges_from_events": view + "SELECT * FROM edges",
         "edges_from_orders": "SELECT epoch_us(o_orderdate) // 1000 AS ts_ms, o_orderkey AS seq, o_orderkey AS event_id, 'place' AS event_sig, o_custkey + 1000000000 AS subject_id, 'Customer::' || c_mktsegment AS subject_sig, o_orderkey + 2000000000 AS object_id, 'Order::' || o_orderpriority AS object_sig FROM orders JOIN customer ON o_custkey = c_custkey",
+        "edges_from_lineitem": f"WITH {LINES_SQL} SELECT * FROM edges",
+        "lineitem_freq_then_ship": pattern_sql(*SHIPPED, view=LINES_SQL),
+        "stream_joined_path3": pattern_sql(*PATTERNS["pat_path3"][:2]),
         "edges_interval_dup": "SELECT unnest(list_distinct([s, s + floor(value)::BIGINT % 3])) AS ts_ms, event_id FROM (SELECT epoch_us(ts) // 1000 AS s, event_id, value FROM events)",
         "timestamp_to_ms": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 1000 WHEN 1 THEN event_id * 1000 WHEN 2 THEN event_id * 1000 + 100 WHEN 3 THEN event_id * 1000 + 120 WHEN 4 THEN event_id * 1000 + 123 END AS ms FROM events",
         "sig_regex_filter": view + "SELECT * FROM edges WHERE regexp_full_match(event_sig, '(pur|sig).*')",
@@ -186,4 +232,4 @@ def oracle_sql() -> dict[str, str]:
         "match_count_by_pattern": " UNION ALL ".join(f"({count(n)})" for n in ("pat_two_step_shared_object", "pat_two_step_both_endpoints", "pat_path3")),
         "render_match": pattern_sql(p, window, last=f"SELECT '<' || {sec('start_ms')} || ', ' || {sec('end_ms')} || '>' || events AS line FROM firsts"),
         "match_nested": pattern_sql(p, window, last="SELECT sha256(events) AS match_id, start_ms, end_ms, regexp_extract(events, '[0-9]+')::BIGINT AS first_event, user_id AS \"user\" FROM firsts JOIN (SELECT event_id, user_id FROM events) ON event_id = regexp_extract(events, '[0-9]+')::BIGINT"),
-    } | {name: pattern_sql(q, w, unique=how.get("event_uniqueness") != "chain") for name, (q, w, how) in PATTERNS.items()}
+    } | {name: pattern_sql(q, w, unique=how.get("event_uniqueness") != "chain") for name, (q, w, how) in PATTERNS.items()} | {name: pattern_sql(*PATTERNS[of][:2]) for name, of in STREAMED.items()}

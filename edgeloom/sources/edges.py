@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 RAW = ("start_time", "end_time", "event_id", "event_sig", "subject_id", "subject_sig", "object_id", "object_sig")
 EDGE = ("ts_ms", "seq", "event_id", "event_sig", "subject_id", "subject_sig", "object_id", "object_sig")
+EDGE_SCHEMA = T.StructType([T.StructField(c, T.StringType() if c.endswith("sig") else T.LongType()) for c in EDGE])
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW])
 TIME = r"^([0-9]+)(?:\.([0-9]{0,3}).*)?$"
 
@@ -49,9 +50,9 @@ def with_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def edges(raw: DataFrame) -> DataFrame:
-    """The edge table of raw text columns. seq, which breaks ties of time, is a column of raw or the row's place in it."""
+    """The edge table of raw text columns. seq, which breaks ties of time, is a column of raw or the row's place in it; in a stream, the event's id."""
     if "seq" not in raw.columns:
-        raw = raw.withColumn("seq", F.monotonically_increasing_id())
+        raw = raw.withColumn("seq", F.col("event_id").try_cast("bigint") if raw.isStreaming else F.monotonically_increasing_id())
     return with_duplicates(typed(raw).where(_NEEDED)).select(*EDGE)
 
 
@@ -139,3 +140,22 @@ def from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
         (F.col("o_custkey") + 1_000_000_000).alias("subject_id"), F.concat(F.lit("Customer::"), F.col("c_mktsegment")).alias("subject_sig"),
         (F.col("o_orderkey") + 2_000_000_000).alias("object_id"), F.concat(F.lit("Order::"), F.col("o_orderpriority")).alias("object_sig"),
     )
+
+
+def from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Order to part, signature ``ship_<flag>``, and supplier to part, ``supply``, at the day of shipping.
+
+    Ids are 60 bits of the MD5 of order, part, supplier, line, flag and time; rows that share all of these are one event.
+    Numbering rows in an order of all columns would take the whole table through one task.
+    """
+    ms = F.expr("unix_micros(cast(l_shipdate as timestamp)) div 1000").alias("ts_ms")
+    rows = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", ms).distinct()
+    text = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "ts_ms")))
+    number = lambda kind: F.conv(F.substring(F.md5(F.concat(F.lit(kind), text)), 1, 15), 16, 10).cast("bigint")
+    order = F.struct(number("ship|").alias("id"), F.concat(F.lit("ship_"), "l_returnflag").alias("sig"), (F.col("l_orderkey") + 2_000_000_000).alias("subject_id"), F.lit("Order").alias("subject_sig"))
+    supplier = F.struct(number("supply|").alias("id"), F.lit("supply").alias("sig"), (F.col("l_suppkey") + 4_000_000_000).alias("subject_id"), F.lit("Supplier").alias("subject_sig"))
+    rows = rows.select("ts_ms", "l_partkey", F.explode(F.array(order, supplier)).alias("e"))
+    return rows.select(
+        "ts_ms", F.col("e.id").alias("seq"), F.col("e.id").alias("event_id"), F.col("e.sig").alias("event_sig"), "e.subject_id", "e.subject_sig",
+        (F.col("l_partkey") + 3_000_000_000).alias("object_id"), F.lit("Part").alias("object_sig"),
+    )
