@@ -178,6 +178,13 @@ class Pattern:
         with open(path, encoding="utf-8") as f:
             return cls.parse(f.read())
 
+    def to_json(self) -> str:
+        """As parse() reads it."""
+        kinds = {"default": lambda e: {}, "frequency": lambda e: {"Type": "Frequency", "Frequency": e.frequency}, "flow": lambda e: {"Type": "Flow"}}
+        entities = [{"ID": i, "Signature": s} for i, s in enumerate(self.entities)]
+        events = [{"ID": i, "Signature": e.signature, "SubjectID": e.subject, "ObjectID": e.object, "Parents": list(e.parents)} | kinds[e.kind](e) for i, e in enumerate(self.events)]
+        return json.dumps({"Version": VERSION, "UseRegex": self.use_regex, "Entities": entities, "Events": events}, indent=2)
+
     def to_dot(self) -> str:
         """Graphviz text; flows are dashed."""
         nodes = [f'  v{i} [label="{s}"];' for i, s in enumerate(self.entities)]
