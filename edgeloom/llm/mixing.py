@@ -8,8 +8,10 @@ source takes its blocks in an order that is permuted anew; all full passes take
 takes blocks in order while the budget lasts, and of the block that doesn't fit the documents in order that fit.
 
 Only a row for each source comes to the driver (``MAX_SOURCES`` at most, else ValueError). Block sums are made by
-combining before the shuffle, so a source of any size is no hot key; a window orders the blocks of a source, and the
-documents of one block of each source.
+combining before the shuffle, so a source of any size is no hot key; a window orders the blocks of a source. The
+documents of the one block of a source that the budget cuts are dealt into ``PARTS`` ranges of the hash that orders
+them: ranges are summed, and windows number documents within a range only, 1/1048576 of the source. Token counts are
+written once and reread, so texts are read once.
 
 A token is a run of other than ASCII white space. Null source is a source of its own; null or empty text has no
 tokens and goes with its block. Rows with null doc_id hash as the empty string; rows that repeat are ordered and
@@ -25,7 +27,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom import scratch
+
 BLOCKS = 1024
+PARTS = 1024
 MAX_SOURCES = 100_000
 #: Sources times blocks for which block plans are broadcast; beyond, the documents are shuffled.
 BROADCAST_ROWS = 500_000
@@ -88,6 +93,7 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float |
         "doc_id", "source", "n_tokens", name.alias("name"),
         F.pmod(_hash(name, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BLOCKS)).cast("int").alias("block"),
     )
+    rows, _ = scratch.save(rows, "counted")
     blocks = rows.groupBy("name", "block").agg(F.sum("n_tokens").alias("t"))
     sources = sorted((r["name"], r["t"]) for r in blocks.groupBy("name").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect())
     if len(sources) > MAX_SOURCES:
@@ -112,13 +118,18 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float |
     blocks = blocks.join(F.broadcast(plan), "name").withColumn("key", key)
     blocks = blocks.select("name", "block", "weight", "passes", "rest", F.row_number().over(order).alias("rank"), F.sum("t").over(order).alias("upto"), "t")
     blocks = blocks.withColumn("fits", F.col("upto") <= F.col("rest")).withColumn("cut", ~F.col("fits") & (F.col("upto") - F.col("t") < F.col("rest")))
-    blocks = F.broadcast(blocks) if len(sources) * BLOCKS <= BROADCAST_ROWS else blocks
+    bounded = lambda df, each: F.broadcast(df) if len(sources) * each <= BROADCAST_ROWS else df
+    blocks = bounded(blocks, BLOCKS)
     placed = rows.join(blocks, ["name", "block"])
     # The documents of the block that the budget cuts: sums over those of equal keys at once, so that rows that repeat share a fate.
-    inside = Window.partitionBy("name").orderBy("k", "doc_id")
     cut = placed.where("cut").withColumn("k", _hash(F.lit(seed), F.col("name"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    cut = cut.withColumn("more", (F.col("upto") - F.col("t") + F.sum("n_tokens").over(inside) <= F.col("rest")).cast("long"))
-    out = placed.where("not cut").withColumn("more", F.col("fits").cast("long")).unionByName(cut.drop("k"))
+    cut = cut.withColumn("part", F.floor(F.col("k") / ((1 << 32) // PARTS)))
+    ahead = F.sum("part_t").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut.groupBy("name", "part").agg(F.sum("n_tokens").alias("part_t")).select("name", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    cut = cut.join(bounded(parts, PARTS), ["name", "part"])
+    inside = F.sum("n_tokens").over(Window.partitionBy("name", "part").orderBy("k", "doc_id"))
+    cut = cut.withColumn("more", (F.col("upto") - F.col("t") + F.col("ahead") + inside <= F.col("rest")).cast("long"))
+    out = placed.where("not cut").withColumn("more", F.col("fits").cast("long")).unionByName(cut.drop("k", "part", "ahead"))
     return out.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("more")).alias("copies"), F.col("rank").cast("long").alias("rank"))
 
 
