@@ -16,8 +16,12 @@ from edgeloom import scratch
 
 
 def _useful(rows: DataFrame) -> DataFrame:
-    """Of each (src, dst), the rows that depart later than all that have arrived before; the latest departure of an arrival."""
-    best = rows.groupBy("src", "dst", "arrive").agg(F.max("depart").alias("depart"), F.min("round").alias("round"))
+    """Of each (src, dst), the rows that depart later than all that have arrived before; the latest departure of an arrival.
+
+    The round is the first that found that departure, so that a later departure for an arrival known already is extended too.
+    """
+    best = rows.groupBy("src", "dst", "arrive").agg(F.max(F.struct("depart", (-F.col("round")).alias("early"))).alias("top"))
+    best = best.select("src", "dst", "arrive", F.col("top.depart").alias("depart"), (-F.col("top.early")).alias("round"))
     before = Window.partitionBy("src", "dst").orderBy("arrive").rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("top", F.max("depart").over(before)).where("top is null or depart > top").drop("top")
     return best

@@ -92,6 +92,28 @@ def test_reachability(spark):
     assert got == want
 
 
+def reached(arcs, window):
+    """(src, dst, depart, arrive) of all time-respecting walks that don't come back to src, then those that no other makes useless."""
+    every, more = set(), {(a, b, t, t) for a, b, t in arcs if a != b}
+    while more:
+        every |= more
+        more = {(s, b, d, t) for s, v, d, at in more for a, b, t in arcs if a == v != b != s and t >= at and t - d <= window} - every
+    return {(s, v, d, t) for s, v, d, t in every if not any((s, v) == (s2, v2) and t2 <= t and d2 >= d and (d2, t2) != (d, t) for s2, v2, d2, t2 in every)}
+
+
+def test_reachability_improved_in_a_later_round(spark):
+    """A later departure that is found for a known arrival goes on from there."""
+    five = [(0, 1, 3), (0, 4, 5), (4, 1, 8), (1, 2, 10), (2, 3, 12)]
+    for window, there in ((8, True), (20, True), (6, False)):
+        got = {tuple(r) for r in flow.reach(graph(spark, [(t, a, b, "x#n#n") for a, b, t in five]), window).select("src", "dst", "depart", "arrive").collect()}
+        assert got == reached(five, window) and ((0, 3, 5, 12) in got) == there
+    rnd, arcs = random.Random(8), []
+    for n in range(60):  # graphs of their own ids
+        arcs += {(10 * n + rnd.randrange(6), 10 * n + rnd.randrange(6), rnd.randrange(16)) for _ in range(16)}
+    got = {tuple(r) for r in flow.reach(graph(spark, [(t, a, b, "x#n#n") for a, b, t in arcs]), 9).select("src", "dst", "depart", "arrive").collect()}
+    assert got == set().union(*(reached([x for x in arcs if x[0] // 10 == n], 9) for n in range(60)))
+
+
 def test_random_graphs(spark):
     rnd = random.Random(5)
     p = Pattern.from_graph(["[ab]", ".*", "b|c"], [(0, 1, "x"), (1, 2, "x|y"), (0, 2, "y")]).before(0, 2)
