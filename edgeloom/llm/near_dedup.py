@@ -11,8 +11,8 @@ are missed with probability of about ``2 * (1 - s**k)**m``: 4e-7 at 0.85 and 1e-
 3. In each table cell every class is compared with the smallest one. Cells whose members are connected after that need
    no more. The members of the others are compared across components in blocks of bounded size, which give out no more
    links than connect them.
-4. A pair is confirmed on the full sets of 64-bit shingle hashes. Pairs that agree in fewer than ``least`` of the
-   2 * m sketches aren't fetched; a pair over the threshold has about 17 of 24 (fewer than 6: under 1e-7).
+4. A pair is confirmed on the full sets of 64-bit shingle hashes. Pairs whose set sizes alone exclude the similarity
+   aren't fetched; that loses no pair.
 5. Confirmed links give connected components.
 
 Null or wordless text has an empty set and no link. With fewer words than a shingle has, the whole sequence is the one
@@ -124,10 +124,11 @@ def _confirmed(num: int, den: int):
     return run
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    a = classes.select(F.col("cid").alias("u"), F.col("sketches").alias("su"))
-    b = classes.select(F.col("cid").alias("v"), F.col("sketches").alias("sv"))
-    return pairs.join(a, "u").join(b, "v").where(F.size(F.array_intersect("su", "sv")) >= least).select("u", "v")
+def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Without the pairs of sets so unlike in size that they can't be similar enough."""
+    a = classes.select(F.col("cid").alias("u"), F.col("n_shingles").alias("nu"))
+    b = classes.select(F.col("cid").alias("v"), F.col("n_shingles").alias("nv"))
+    return pairs.join(a, "u").join(b, "v").where(den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")).select("u", "v")
 
 
 def _set_table(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -195,7 +196,7 @@ def _links_across(left: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     return own.join(sets, "cid").groupBy("band", "p", "q").applyInPandas(_across(num, den), "u long, v long")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m: int = 12, k: int = 2, least: int = 6) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m: int = 12, k: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     Documents whose sets have den * intersection >= num * union are linked; component_id is the smallest doc_id that
@@ -204,7 +205,7 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m
     rows, _ = scratch.save(
         docs.select("doc_id", "text").mapInPandas(_signed(words, m, k), "doc_id long, n_shingles long, set_key binary, sketches array<long>"), "signed"
     )
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("sketches").alias("sketches"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
     classes, _ = scratch.save(classes, "classes")
     bands = classes.select("cid", F.explode("sketches").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
@@ -217,7 +218,7 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m
 
     low = cells.groupBy("cell").agg(F.min("cid").alias("u"), F.max("cid").alias("high")).where("u <> high").select("cell", "u")
     stars = cells.join(low, "cell").where("cid <> u").select("u", F.col("cid").alias("v")).distinct()
-    stars, _ = scratch.save(_plausible(stars, classes, least), "stars")
+    stars, _ = scratch.save(_plausible(stars, classes, num, den), "stars")
     links, _ = scratch.save(_links(stars, docs, words, num, den), "links")
     comps, _ = scratch.save(components(links), "components")
 

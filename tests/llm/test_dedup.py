@@ -78,6 +78,16 @@ def test_near_dedup_across_a_cell(spark):
     assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["0", "None"]
 
 
+def test_near_dedup_pairs_of_few_equal_sketches(spark):
+    """Pairs of similarity 8 / 10 that share a sketch of each collection, but only 4 or 5 of 24."""
+    rows = []
+    for n in (29705, 65823, 140338, 147533):
+        w = [f"s{n}w{i}" for i in range(10)]
+        rows += [(2 * n, " ".join(w[:9])), (2 * n + 1, " ".join(w[:8] + w[9:]))]
+    got = nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
