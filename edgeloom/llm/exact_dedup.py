@@ -8,8 +8,9 @@ texts aren't moved again. Digests that stand for several contents go through a j
 
 Null text counts as empty, and empty texts are equal. Only runs of white space are made equal, not white space at
 the ends. Rows with a null doc_id take part; they never win against a row that has one, and a group without any gets a
-null keep_id and keeps its rows. Rows that repeat the smallest doc_id of their group are all kept. Extra columns are
-ignored. An empty table gives an empty result.
+null keep_id and keeps its rows. Rows that repeat the smallest doc_id of their group are all kept. one_of_each, which
+the pipeline uses, decides by row instead and leaves one of them. Extra columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom import scratch
+from edgeloom.llm.rows import by_row
 
 #: A run of white space that isn't one space already.
 LONG_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -79,6 +81,11 @@ def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep_id"]), "left_semi")
 
 
+def one_of_each(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One row of docs for each text, with all its columns: of the smallest doc_id; rows with null doc_id and rows that repeat one are copies, too."""
+    return by_row(docs, lambda rows: without_copies(rows, salts))
+
+
 SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(content) AS text_sha256

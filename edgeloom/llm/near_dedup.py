@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import scratch
 from edgeloom.llm.components import components
+from edgeloom.llm.rows import by_row
 
 #: Classes are looked up by broadcast up to this many ids of 8 bytes; beyond, the texts are shuffled.
 BROADCAST_IDS = 400_000
@@ -237,9 +238,13 @@ def near_dedup(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, m
 
 
 def without_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with all their columns; rows with null doc_id stay if nothing equals them."""
-    kept = near_dedup(docs, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of docs that near_dedup keeps, with all their columns, decided by row: one of each component, whether rows have a doc_id of their own or not."""
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept = near_dedup(rows, **how).where("kept").select(F.col("doc_id").alias("__kept_id"))
+        return rows.join(kept, rows["doc_id"] == kept["__kept_id"], "left_semi")
+
+    return by_row(docs, keep)
 
 
 SQL = r"""

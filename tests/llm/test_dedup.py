@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from edgeloom.llm import near_dedup as nd
 from edgeloom.llm.components import components
 from edgeloom.llm.exact_dedup import exact_dedup, without_copies
@@ -88,6 +89,22 @@ def test_near_dedup_pairs_of_few_equal_sketches(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_copies_without_ids_of_their_own(spark):
+    """Rows with a null or a repeated doc_id are left out where they are copies, and only there."""
+    copies = lambda *rows: spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    seen = lambda df: sorted((str(r.doc_id), " ".join(r.text.split())) for r in df.collect())
+    got = corpus_pipeline.exact_copies(spark, spark.createDataFrame(EDGE, SCHEMA), "")
+    assert got.columns == ["doc_id", "text", "digest", "keep_id"] and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "5", "7", "None"]
+    rows = copies((9, "x"), (9, "y"), (2, "y"), (9, "y"), (None, "z"), (None, "z"), (None, "x"), (4, "v"))
+    assert seen(corpus_pipeline.exact_copies(spark, rows, "")) == [("2", "y"), ("4", "v"), ("9", "x"), ("None", "z")]
+    w = [f"w{i}" for i in range(100)]
+    full, near, other = " ".join(w), " ".join(w[:99] + ["end"]), " ".join(f"v{i}" for i in range(60))
+    rows = copies((None, full), (None, near), (None, other), (5, full), (5, near), (None, other), (5, "a b c d e f"), (5, "a b c d e f"), (7, "g h i j k l"))
+    got = [("5", "first" if t in (full, near) else t) for i, t in seen(corpus_pipeline.near_copies(spark, rows, "")) if i == "5"]
+    assert got == [("5", "a b c d e f"), ("5", "first")]
+    assert [x for x in seen(corpus_pipeline.near_copies(spark, rows, "")) if x[0] != "5"] == [("7", "g h i j k l"), ("None", other)]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
