@@ -2,10 +2,12 @@
 
 Source token shares are raised to an exponent alpha in 0..1 and normalised: 1 keeps the shares, 0 makes them equal.
 alpha is bisected to be the largest whose weights have the target entropy, and, if that repeats a source more often
-than ``max_repeats``, the least that doesn't. The weights times the budget are each source's tokens. They are
-realised as block permutations: documents fall into ``BLOCKS`` blocks of their source by a hash; each pass over the
-source takes its blocks in an order that is permuted anew; all full passes take every document, and the last pass
-takes blocks in order while the budget lasts, and of the block that doesn't fit the documents in order that fit.
+than ``max_repeats``, the least that doesn't. With ``whole`` there is no target entropy, and alpha is bisected on the
+repetition limit alone, the budget being what passes over each source once at least. The weights times the budget are
+each source's tokens. They are realised as block permutations: documents fall into ``BLOCKS`` blocks of their source
+by a hash; each pass over the source takes its blocks in an order that is permuted anew; all full passes take every
+document, and the last pass takes blocks in order while the budget lasts, and of the block that doesn't fit the
+documents in order that fit.
 
 Only a row for each source comes to the driver (``MAX_SOURCES`` at most, else ValueError). Block sums are made by
 combining before the shuffle, so a source of any size is no hot key; a window orders the blocks of a source. The
@@ -134,11 +136,16 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float |
 
 
 def _whole(tokens: list[int], max_repeats: float) -> tuple[float, float]:
-    """The least alpha, and its budget, with every source passed over once at least and none more than max_repeats times."""
-    some = [t for t in tokens if t]
-    alpha = 0.0 if max_repeats <= 1 or max(some) <= min(some) else max(0.0, 1 - math.log(max_repeats) / math.log(max(some) / min(some)))
-    alpha = 1.0 if max_repeats <= 1 else alpha
-    return alpha, max(t / x for t, x in zip(tokens, weights(tokens, alpha), strict=True) if t)
+    """The least alpha, and its budget, with every source passed over once at least and none more than max_repeats times; bisected in 60 steps."""
+    most = lambda a: max(t / x for t, x in zip(tokens, weights(tokens, a), strict=True) if t)
+    over = lambda a: any(x * most(a) > max_repeats * t for t, x in zip(tokens, weights(tokens, a), strict=True) if t)
+    low, high = 0.0, 1.0
+    if not over(low):
+        high = low
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if over(mid) else (low, mid)
+    return high, most(high)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

@@ -114,3 +114,13 @@ def test_repetition_limit():
     assert a == 1
     a = mixing.exponent(tokens, 1.0, 4, sum(tokens))
     assert max(w * sum(tokens) / t for w, t in zip(mixing.weights(tokens, a), tokens)) <= 4 + 1e-6
+
+
+def test_repetition_limit_of_whole_passes():
+    """The least alpha within the limit, which the closed form 1 - log(limit) / log(largest / smallest) oversteps by rounding for some of these."""
+    for n in range(2, 200):
+        tokens = [10_000 + n, 100 * n, n, 0]
+        alpha, total = mixing._whole(tokens, 1.5)
+        repeats = lambda a, budget: [w * budget / t for w, t in zip(mixing.weights(tokens, a), tokens) if t]
+        assert all(w * total <= 1.5 * t for w, t in zip(mixing.weights(tokens, alpha), tokens) if t) and min(repeats(alpha, total)) > 1 - 1e-9
+        assert max(r := repeats(alpha - 1e-6, 1)) / min(r) > 1.5
