@@ -6,8 +6,9 @@ passage and the document, and encoded by a layer of tanh units. Gated attention,
 over the passages, gives weights; the weighted sum of the encodings goes to a logistic unit. All is learnt together
 from document labels, by Adam on whole batches in double precision, from fixed starting values, so a model depends on its sample only.
 
-The model is fitted on at most ``MAX_TRAIN`` labelled documents (smallest hashes of doc_id) and ``MAX_PASSAGES``
-passages of each, evenly spaced; scores use all passages of the whole text. Only text and labels count.
+The model is fitted on all passages of at most ``MAX_TRAIN`` labelled documents (smallest hashes of doc_id), fewer where
+those would have more than about ``MAX_PASSAGES`` passages in all; scores use all passages of the whole text, too. Only
+text and labels count.
 
 Null or empty text is one passage without characters and has a score; labels that are null or neither 0 nor 1 are not
 learnt from, of several labels of a document the smallest counts; where all labels learnt from are alike, or there are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 PASSAGE = 512
 MAX_TRAIN = 6000
-MAX_PASSAGES = 24
+MAX_PASSAGES = 200_000
 HIDDEN, GATE = 12, 8
 THRESHOLD = 0.3
 #: Character classes of bytes: lower, upper, digit, space, line end, sentence marks, brackets and quotes, other marks, beyond ASCII, control.
@@ -45,8 +46,8 @@ def _class_of() -> np.ndarray:
 CLASS_OF = _class_of()
 
 
-def features(text: str | None, most: int | None = None) -> np.ndarray:
-    """A row for each passage; with most, so many passages evenly spaced."""
+def features(text: str | None) -> np.ndarray:
+    """A row for each passage."""
     raw = (text or "").encode()
     cls = CLASS_OF[np.frombuffer(raw, np.uint8)]
     starts = np.arange(0, max(1, len(raw)), PASSAGE)
@@ -64,8 +65,7 @@ def features(text: str | None, most: int | None = None) -> np.ndarray:
     breaks = counts[:, 3] + counts[:, 4]
     fresh = np.array([len(set(p)) / max(1, len(p)) for p in (raw[a : a + PASSAGE].split() for a in starts)])
     whole = np.array([len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), np.log1p(len(words)), np.log1p(len(raw) / len(lines)), np.sqrt(len(words)) * len(set(words)) / max(1, len(words))])
-    out = np.column_stack([counts / per[:, None], turns / per, size / PASSAGE, (size - breaks) / np.maximum(breaks + 1, 1) / 10, fresh, np.tile(whole, (n, 1))])
-    return out if most is None or n <= most else out[np.linspace(0, n - 1, most).astype(int)]
+    return np.column_stack([counts / per[:, None], turns / per, size / PASSAGE, (size - breaks) / np.maximum(breaks + 1, 1) / 10, fresh, np.tile(whole, (n, 1))])
 
 
 @dataclass
@@ -125,18 +125,25 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 250, rate: floa
     return Model(mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """From the labels(doc_id, quality) of documents whose crc32(doc_id as text) mod 5 is not 0, at most ``most``, smallest hashes of doc_id first."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, passages: int = MAX_PASSAGES) -> Model:
+    """From the labels(doc_id, quality) of documents whose crc32(doc_id as text) mod 5 is not 0, at most ``most``, smallest hashes of doc_id first.
+
+    Documents are taken while their passages are at most so many, one at least.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").cast("int").alias("__quality"))
     known = known.orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(2 * most)  # some labels may have no document
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "label": b["__quality"], "bag": [features(t, MAX_PASSAGES).tobytes() for t in b["text"]]})
-
-    there = docs.select("doc_id").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("__id", "__quality").distinct()
-    there = there.orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(most)
+            yield pd.DataFrame({"id": b["doc_id"], "label": b["__quality"], "bag": [features(t).tobytes() for t in b["text"]]})
+
+    n = F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)
+    there = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).groupBy("__id", "__quality").agg(F.sum(F.greatest(n, F.lit(1))).alias("n"))
+    there = there.orderBy(F.xxhash64("__id", F.lit(7)), "__id").limit(most).collect()
+    upto = np.cumsum([r["n"] for r in there])
+    there = [(r["__id"], r["__quality"]) for k, r in enumerate(there) if k == 0 or upto[k] <= passages]
+    there = docs.sparkSession.createDataFrame(there, "__id long, __quality int")
     found = docs.select("doc_id", "text").join(F.broadcast(there), F.col("doc_id") == F.col("__id"))
     rows = found.mapInPandas(run, "id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r["id"], r["bag"]))

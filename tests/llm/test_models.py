@@ -41,6 +41,19 @@ def test_quality(spark, docs):
     assert quality.without_rejected(edge, some).columns == edge.columns
 
 
+def test_quality_learns_from_all_passages(spark, monkeypatch):
+    """Bags of long texts are whole; the bound on passages takes whole documents."""
+    bags = []
+    monkeypatch.setattr(quality, "fit", lambda b, y: bags.append(b))
+    texts = {i: "some plain words. " * 30 * i for i in range(1, 240)}
+    docs, labels = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    every = {len(quality.features(t)) for t in texts.values()}
+    quality.train(docs, labels)
+    assert max(map(len, bags[0])) > 200 and {len(b) for b in bags[0]} <= every and len(bags[0]) > 150
+    quality.train(docs, labels, passages=5000)
+    assert {len(b) for b in bags[1]} <= every and 4000 < sum(map(len, bags[1])) <= 5000
+
+
 def test_quality_gradient():
     """A step of training by hand: the gradient that fit() follows equals finite differences."""
     rnd = np.random.RandomState(0)
@@ -98,6 +111,25 @@ def test_pii_adds_spans():
     assert pii.strict(text) == [] and {k for k, _, _ in pii.spans(text, m)[1]} == {"phone", "email"}
 
 
+def test_pii_of_a_rare_kind(spark):
+    """Most documents hold other numbers, a few in a hundred a card: that kind has its threshold."""
+    rnd, rows = random.Random(6), []
+    for i in range(3000):
+        number = f"{rnd.randrange(10**5, 10**6)}-{rnd.randrange(10**5, 10**6)}"
+        if i % 25 == 0:
+            number = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+            number = next(number + d for d in "0123456789" if pii.luhn(number + d))
+        rows.append((i, f"Paid on {rnd.randrange(10, 28)}.{rnd.randrange(1, 12)}.2019 by {number} here"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs, most=200)
+    assert "card" in model.thresholds
+    drawn = pii._drawn(docs, 200, 60)
+    card = pii.KINDS.index("card")
+    n = sum(i % 25 == 0 for i in drawn)
+    assert n == 60 and {drawn[i][card] for i in drawn if i % 25 == 0} == {2.0}
+    assert abs(sum(w[card] for i, w in drawn.items()) - 3000) < 1e-6
+
+
 def test_nearest(spark):
     rnd = np.random.RandomState(4)
     base = rnd.normal(size=(400, 16)).astype(np.float32)
