@@ -7,10 +7,12 @@ of them, so that what a long or repetitive text says about itself doesn't outwei
 
 A prediction is marked ``rejected`` where the margin, the share by which the second smallest result is larger, is
 under ``MARGIN``; the language is given all the same. ``score`` is the softmax of minus the bits for each character,
-times ``SHARP``, at the winner. Dictionaries come from at most ``DOCS`` documents a language (smallest hashes of
-doc_id), of up to ``PER_DOC`` characters each, ``SIZE`` bytes together; predictions use whole texts.
+times ``SHARP``, at the winner. Dictionaries are the whole texts of at most ``DOCS`` documents a language (smallest
+hashes of doc_id, none longer than ``LONGEST`` bytes), while these have ``SIZE`` bytes together; predictions use whole texts.
+More than ``LANGUAGES`` languages raise ValueError, as every task holds a dictionary for each.
 
-Text that is null or has no letter is ``und`` with score 0, as is all text where no language was learnt. Ties go to
+Letters are what Unicode calls so: digits, fractions and other numbers aren't. Text that is null or has no letter is
+``und`` with score 0, as is all text where no language was learnt. Ties go to
 the name that comes first. Rows with null doc_id are predicted and not learnt from; rows that repeat get equal
 predictions; extra columns are ignored; an empty table gives an empty result.
 """
@@ -18,37 +20,50 @@ predictions; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.rows import of_texts, remainder
 from edgeloom.llm.sampling import bounded
 
-DOCS, PER_DOC, SIZE = 64, 4000, 96_000
+DOCS, LONGEST, SIZE = 64, 16_000, 96_000
+LANGUAGES = 200
 LEVEL = 6
 PIECE = 2048
 MARGIN = 0.02
 SHARP = 40.0
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The first does for ASCII, in the faster module.
+_NOT_ASCII_LETTERS = re.compile(r"[^a-z]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str | None) -> bytes:
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode()
+    low = (text or "").lower()
+    if low.isascii():
+        return _NOT_ASCII_LETTERS.sub(" ", low).strip().encode()
+    out = _NOT_LETTERS.sub(" ", low)
+    if not out.replace(" ", "").isalpha():  # that module may know letters of a later Unicode
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
+    return out.strip().encode()
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Language to dictionary, from rows of docs(doc_id, text, lang) whose crc32(doc_id as text) mod 3 is not 1."""
     known = docs.select("doc_id", "text", F.col("lang").alias("__lang")).where("doc_id is not null and __lang is not null and length(text) > 0")
-    known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
+    known = known.where(F.octet_length("text") <= LONGEST).where(remainder(F.col("doc_id"), 3) != 1)
+    if known.select("__lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     out: dict[str, bytes] = {}
-    rows = bounded(known, "__lang", DOCS, F.col("doc_id")).select("doc_id", F.substring("text", 1, PER_DOC).alias("text"), "__lang").collect()
-    for r in sorted(rows, key=lambda r: (r["__lang"], r["doc_id"], r["text"])):
-        out[r["__lang"]] = (out.get(r["__lang"], b"") + letters(r["text"]) + b" ")[-SIZE:]
+    rows = bounded(known, "__lang", DOCS, F.col("doc_id")).select("doc_id", "text", "__lang", "__h").collect()
+    for r in sorted(rows, key=lambda r: (r["__lang"], r["__h"], r["doc_id"], r["text"])):
+        more = letters(r["text"]) + b" "
+        if len(now := out.setdefault(r["__lang"], b"")) + len(more) <= SIZE:
+            out[r["__lang"]] = now + more
     return dict(sorted(out.items()))
 
 
@@ -81,12 +96,9 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each row of docs(doc_id, text); learn_from(doc_id, text, lang) is docs unless given."""
     dicts = dictionaries(docs if learn_from is None else learn_from)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         by = Compressors(dicts)
-        for b in batches:
-            out = pd.DataFrame([by.predict(t) for t in b["text"]], columns=["lang_pred", "score", "rejected"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out.insert(1, "held_out", [i is not None and i == i and zlib.crc32(str(int(i)).encode()) % 3 == 1 for i in b["doc_id"]])
-            yield out
+        return lambda texts: [list(c) for c in zip(*map(by.predict, texts), strict=True)]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    out = of_texts(docs, {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}, start)
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
