@@ -11,8 +11,12 @@ mask covers the escaped texts of assistant turns.
 
 Turns are ordered by turn, then place in the record, role and text (nulls first), repeated rows included. Null role
 or text counts as empty; null conv_id is a conversation of its own; extra columns are ignored; an empty table gives an
-empty result. Rows are mapped, escaped and rendered where they are read; one pass over sorted rows then reads the
-output back, holding a turn at a time, so a conversation of any length fits.
+empty result. A record that isn't JSON has no layout, as has one that no layout fits: ``formatted`` counts them for
+each conversation, and ``segments`` shows them with a null segment.
+
+Rows are mapped, escaped and rendered where they are read. One pass over sorted rows then puts a conversation's output
+together and reads it back: a parser that isn't told where a turn ends finds the ends itself and holds what has no end
+yet, so a conversation of any length fits. The digests need a conversation's turns in order, so one task has them all.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.rows import bound_batches, ddl, mapped
+
 #: Layout to mapping. each: the list of turns, with paths of role and text in it; else turns: (role or path of role, paths of text, joined by an empty line).
 LAYOUTS: dict[str, dict[str, Any]] = {
     "messages": {"each": "messages", "role": "role", "text": "content"},
@@ -101,74 +107,120 @@ def rendered(role: str, text: str) -> str:
     return f"### {_escaped(role).replace(':', '\\:')}:\n{_escaped(text)}\n</turn>\n"
 
 
-_TURN = re.compile(r"(?s)### ((?:[^\\:]|\\.)*+):\n((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n")
+#: Escaped texts have no line that starts with ###, so a turn without an end doesn't run into the next one.
+_TURN = re.compile(r"(?s)### ((?:[^\\:]|\\.)*+):\n(?!###)((?:[^\\<\n]|\\.|<(?!/turn>)|\n(?!###))*+)</turn>\n")
+
+
+class Reader:
+    """Turns of a formatted conversation that comes in pieces, cut anywhere."""
+
+    def __init__(self):
+        self.at, self.rest = 0, ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, str, tuple[int, int]]]:
+        """Role, text, the escaped text, and where that is in the conversation, of each turn that ends in the piece."""
+        text, at = self.rest + piece, 0
+        # A turn ends with this, so without it there is nothing to look for yet; a part of it may be in what was held.
+        if "</turn>\n" in text[max(0, len(self.rest) - 8) :]:
+            while (m := _TURN.match(text, at)) is not None:
+                if not m[2].endswith("\n"):
+                    raise ValueError(f"no turn at {self.at + at}")
+                yield _unescaped(m[1]), _unescaped(m[2][:-1]), m[2][:-1], (self.at + m.start(2), self.at + m.end(2) - 1)
+                at = m.end()
+        self.at, self.rest = self.at + at, text[at:]
+
+    def end(self) -> None:
+        if self.rest:
+            raise ValueError(f"no turn at {self.at}")
 
 
 def parsed(formatted: str) -> list[tuple[str, str, tuple[int, int]]]:
     """Role, text, and where the escaped text is, of each turn."""
-    out, at = [], 0
-    while at < len(formatted):
-        if (m := _TURN.match(formatted, at)) is None or not m[2].endswith("\n"):
-            raise ValueError(f"no turn at {at}")
-        out.append((_unescaped(m[1]), _unescaped(m[2][:-1]), (m.start(2), m.end(2) - 1)))
-        at = m.end()
+    reader = Reader()
+    out = [(role, text, where) for role, text, _, where in reader.feed(formatted)]
+    reader.end()
     return out
 
 
-def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for conv, turn, record in zip(b["conv"], b["turn"], b["record"], strict=True):
-            layout, found = turns(json.loads(record) if record else None)
-            rows += [(conv, turn, layout, k, role, text, rendered(role, text)) for k, (role, text) in enumerate(found)] or [(conv, turn, layout, 0, "", "", None)]
-        yield pd.DataFrame(rows, columns=["conv", "turn", "layout", "k", "role", "text", "segment"])
+SEGMENTS = {"conv": pa.string(), "turn": pa.string(), "layout": pa.string(), "k": pa.int32(), "role": pa.string(), "text": pa.string(), "segment": pa.string()}
+
+
+def _record(text: str | None) -> Any:
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
+
+
+def _rendered(convs: pa.Array, turn_nos: pa.Array, records: pa.Array) -> list:
+    rows = []
+    for conv, turn, record in zip(convs.to_pylist(), turn_nos.to_pylist(), records.to_pylist(), strict=True):
+        layout, found = turns(_record(record))
+        rows += [(conv, turn, layout, k, role, text, rendered(role, text)) for k, (role, text) in enumerate(found)] or [(conv, turn, layout, 0, "", "", None)]
+    return [list(c) for c in zip(*rows, strict=True)]
 
 
 def segments(records: DataFrame) -> DataFrame:
-    """conv, turn, layout, k, role, text, segment for each turn in records(conv, turn, record): strings, record being JSON."""
-    return records.mapInPandas(_rendered, "conv string, turn string, layout string, k int, role string, text string, segment string")
+    """conv, turn, layout, k, role, text, segment for each turn in records(conv, turn, record): strings, record being JSON. Null segment: no turns; null layout: none fits."""
+    return mapped(records.select("conv", "turn", "record"), SEGMENTS, lambda: _rendered)
 
 
 def formatted(records: DataFrame) -> DataFrame:
-    """conv, text, loss (arrays of start and end): a row for each conversation, its turns in order. For conversations that fit a row."""
-    rows = segments(records).where("segment is not null")
-    text = rows.groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("t"), "k", "role", "text", "segment"))), lambda x: x["segment"]), "").alias("text"))
+    """conv, text, loss (arrays of start and end), n_unmapped (records without a layout): a row for each conversation, its turns in order. For conversations that fit a row."""
+    one = F.struct(F.col("turn").cast("long").alias("t"), "k", "role", "text", "segment")
+    text = segments(records).groupBy("conv").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("segment").isNotNull(), one))), lambda x: x["segment"]), "").alias("text"), F.count_if(F.col("layout").isNull()).alias("n_unmapped")
+    )
+
+    @F.arrow_udf("array<array<int>>")
+    def mask(texts: pa.Array) -> pa.Array:
+        return pa.array([[list(w) for r, _, w in parsed(t) if r == "assistant"] for t in texts.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return text.select("conv", "text", mask("text").alias("loss"), "n_unmapped")
+
+
+DIGESTS = {"conv": pa.string(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(loss=[[list(w) for r, _, w in parsed(t) if r == "assistant"] for t in b["text"]])
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the segments of each conversation, which come one after the other."""
+    reader: Reader | None = None
+    now, n, every, lost, loss = None, 0, hashlib.sha256(), 0, hashlib.sha256()
 
-    return text.mapInPandas(mask, "conv string, text string, loss array<array<int>>")
+    def told() -> list:
+        reader.end()
+        return [now, n, every.hexdigest(), lost, loss.hexdigest(), reader.at]
 
+    def batch(rows: list) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(DIGESTS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, DIGESTS.values(), strict=True)], names=list(DIGESTS))
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    now, n, every, lost, loss, size = None, 0, None, 0, None, 0
     for b in batches:
         out = []
-        for conv, segment in zip(b["conv"], b["segment"], strict=True):
-            if every is None or conv != now:
-                if every is not None:
-                    out.append((now, n, every.hexdigest(), lost, loss.hexdigest(), size))
-                now, n, every, lost, loss, size = conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-            for role, text, (a, z) in parsed(segment) if segment else []:
+        for conv, segment in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if reader is None or conv != now:
+                if reader is not None:
+                    out.append(told())
+                reader = Reader()
+                now, n, every, lost, loss = conv, 0, hashlib.sha256(), 0, hashlib.sha256()
+            for role, text, escaped, _ in reader.feed(segment or ""):
                 n += 1
                 every.update(f"{role}\n{text}\n".encode())
                 if role == "assistant":
-                    masked = _unescaped(segment[a:z])
+                    masked = _unescaped(escaped)
                     lost += len(masked)
                     loss.update(masked.encode())
-            size += len(segment or "")
-        yield pd.DataFrame(out, columns=names)
-    if every is not None:
-        yield pd.DataFrame([(now, n, every.hexdigest(), lost, loss.hexdigest(), size)], columns=names)
+        yield batch(out)
+    if reader is not None:
+        yield batch([told()])
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of rows(conv_id, turn, role, text), read back from the formatted output."""
+    bound_batches(rows.sparkSession)
     records = rows.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("string").alias("turn"), F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
     placed = segments(records).withColumn("t", F.col("turn").cast("long")).repartition("conv").sortWithinPartitions("conv", "t", "k", "role", "text").select("conv", "segment")
-    out = placed.mapInPandas(_read_back, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out = placed.mapInArrow(_read_back, ddl(DIGESTS))
     return out.select(F.col("conv").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
