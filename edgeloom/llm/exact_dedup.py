@@ -4,7 +4,8 @@ Three combining steps, each of which groups by the digest and by the full conten
 dedups locally; the groups of (digest, salt, content) merge what the tasks found, so that no task gets all copies of
 a text; the salt winners, at most ``salts`` rows for a text, are combined globally. A digest that stands for one
 content only (the combined rows tell) then serves as the key that takes the outcome back to the documents, so the
-texts aren't moved again. Digests that stand for several contents go through a join on digest and content.
+texts aren't moved again; there the rows of a digest that very many rows have are dealt over tasks by salts. Digests
+that stand for several contents go through a join on digest and content.
 
 Null text counts as empty, and empty texts are equal. Only runs of white space are made equal, not white space at
 the ends. Rows with a null doc_id take part; they never win against a row that has one, and a group without any gets a
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom import scratch
-from edgeloom.llm.rows import by_row
+from edgeloom.llm.rows import by_row, join_hot
 
 #: A run of white space that isn't one space already.
 LONG_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -63,9 +64,10 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest_bits: int = 256) ->
     """doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) for each row of docs(doc_id, text)."""
     one, more = winners(docs, salts, digest_bits)
     rows = _hashed(docs, digest_bits)
-    out = rows.drop("content").join(one, "digest")
+    back = lambda rows: join_hot(rows, one.withColumn("n", F.col("group_size")), "digest", "n", F.monotonically_increasing_id())
+    out = back(rows.drop("content"))
     if digest_bits != 256:
-        out = rows.join(one, "digest").withColumn("digest", F.sha2("content", 256)).drop("content")
+        out = back(rows).withColumn("digest", F.sha2("content", 256)).drop("content")
     if more is not None:
         out = out.unionByName(rows.join(more, ["digest", "content"]).withColumn("digest", F.sha2("content", 256)).drop("content"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -77,8 +79,8 @@ def without_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     ids = one.select(F.col("keep_id").alias("__keep_id"))
     if more is not None:
         ids = ids.unionByName(more.select(F.col("keep_id").alias("__keep_id")))
-    ids = ids.where("__keep_id is not null").unionByName(docs.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS __keep_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep_id"]), "left_semi")
+    named = docs.join(ids.where("__keep_id is not null"), docs["doc_id"] == F.col("__keep_id"), "left_semi")
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def one_of_each(docs: DataFrame, salts: int = SALTS) -> DataFrame:
