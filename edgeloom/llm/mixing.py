@@ -80,24 +80,24 @@ def exponent(tokens: list[int], target_entropy: float | None, max_repeats: float
     return alpha
 
 
-def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float | None = 4.0, budget: float = 1.0, whole: bool = False, seed: str = "0") -> DataFrame:
-    """doc_id, source, n_tokens, weight, copies, rank for each row of docs(doc_id, text, source).
-
-    The target entropy lies by entropy_share between that of the shares and that of equal weights. budget: tokens to
-    be had, as a multiple of those there are; with whole, it is raised until each source is passed over once at
-    least, and max_repeats counts from there. copies: how often the document is to be taken; rank: of its block in the
-    last pass.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with __name of the source, __key of the document, __block."""
     name = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("source")))
-    rows = rows.select(
-        "doc_id", "source", "n_tokens", name.alias("name"),
-        F.pmod(_hash(name, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BLOCKS)).cast("int").alias("block"),
-    )
-    rows, _ = scratch.save(rows, "counted")
-    blocks = rows.groupBy("name", "block").agg(F.sum("n_tokens").alias("t"))
-    sources = sorted((r["name"], r["t"]) for r in blocks.groupBy("name").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect())
+    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
+    rows = docs.withColumn("__name", name).withColumn("__key", key)
+    return rows.withColumn("__block", F.pmod(_hash(F.col("__name"), F.col("__key")), F.lit(BLOCKS)).cast("int"))
+
+
+def _order(seed: str) -> Column:
+    """Of the documents of a block."""
+    return _hash(F.lit(seed), F.col("__name"), F.col("__key"))
+
+
+def _blocks(rows: DataFrame, entropy_share: float | None, max_repeats: float | None, budget: float, whole: bool, seed: str) -> DataFrame:
+    """__name, __block, weight, passes, rank, fits, and of the cut block __last: the (hash, key) up to which documents fit, for rows(__name, __key, __block, n_tokens)."""
+    spark = rows.sparkSession
+    blocks = rows.groupBy("__name", "__block").agg(F.sum("n_tokens").alias("t"))
+    sources = sorted((r["__name"], r["t"]) for r in blocks.groupBy("__name").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect())
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     tokens = [t for _, t in sources]
@@ -114,25 +114,49 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float |
         plan = [(n, x, math.floor(x * total / t + 1e-9) if t else 1, float(max(0.0, x * total - t * math.floor(x * total / t + 1e-9))) if t else 0.0) for (n, t), x in zip(sources, w, strict=True)]
     else:
         plan = [(n, 1 / len(sources), 1, 0.0) for n, _ in sources]
-    plan = spark.createDataFrame(plan, "name string, weight double, passes long, rest double")
-    order = Window.partitionBy("name").orderBy("key", "block")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("passes").cast("string"), F.col("name"), F.col("block").cast("string")))
-    blocks = blocks.join(F.broadcast(plan), "name").withColumn("key", key)
-    blocks = blocks.select("name", "block", "weight", "passes", "rest", F.row_number().over(order).alias("rank"), F.sum("t").over(order).alias("upto"), "t")
+    plan = spark.createDataFrame(plan, "__name string, weight double, passes long, rest double")
+    order = Window.partitionBy("__name").orderBy("key", "__block")
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("passes").cast("string"), F.col("__name"), F.col("__block").cast("string")))
+    blocks = blocks.join(F.broadcast(plan), "__name").withColumn("key", key)
+    blocks = blocks.select("__name", "__block", "weight", "passes", "rest", F.row_number().over(order).cast("long").alias("rank"), F.sum("t").over(order).alias("upto"), "t")
     blocks = blocks.withColumn("fits", F.col("upto") <= F.col("rest")).withColumn("cut", ~F.col("fits") & (F.col("upto") - F.col("t") < F.col("rest")))
-    bounded = lambda df, each: F.broadcast(df) if len(sources) * each <= BROADCAST_ROWS else df
-    blocks = bounded(blocks, BLOCKS)
-    placed = rows.join(blocks, ["name", "block"])
+    blocks, _ = scratch.save(blocks, "blocks")
     # The documents of the block that the budget cuts: sums over those of equal keys at once, so that rows that repeat share a fate.
-    cut = placed.where("cut").withColumn("k", _hash(F.lit(seed), F.col("name"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    room = F.broadcast(blocks.where("cut").select("__name", "__block", (F.col("rest") - F.col("upto") + F.col("t")).alias("room")))  # a row for each source at most
+    cut = rows.join(room, ["__name", "__block"]).withColumn("k", _order(seed))
     cut = cut.withColumn("part", F.floor(F.col("k") / ((1 << 32) // PARTS)))
-    ahead = F.sum("part_t").over(Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = cut.groupBy("name", "part").agg(F.sum("n_tokens").alias("part_t")).select("name", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    cut = cut.join(bounded(parts, PARTS), ["name", "part"])
-    inside = F.sum("n_tokens").over(Window.partitionBy("name", "part").orderBy("k", "doc_id"))
-    cut = cut.withColumn("more", (F.col("upto") - F.col("t") + F.col("ahead") + inside <= F.col("rest")).cast("long"))
-    out = placed.where("not cut").withColumn("more", F.col("fits").cast("long")).unionByName(cut.drop("k", "part", "ahead"))
-    return out.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + F.col("more")).alias("copies"), F.col("rank").cast("long").alias("rank"))
+    ahead = F.sum("part_t").over(Window.partitionBy("__name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = cut.groupBy("__name", "part").agg(F.sum("n_tokens").alias("part_t"), F.first("room").alias("room")).select("__name", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"), "part_t", "room")
+    # Parts that fit whole, and the one that doesn't, of which each source has one at most.
+    parts = parts.where("ahead <= room").withColumn("whole", F.col("ahead") + F.col("part_t") <= F.col("room"))
+    parts, _ = scratch.save(parts, "parts")
+    inner = cut.drop("room").join(F.broadcast(parts.where("not whole")), ["__name", "part"])
+    inside = F.sum("n_tokens").over(Window.partitionBy("__name").orderBy("k", "__key"))
+    some = inner.withColumn("fit", F.col("ahead") + inside <= F.col("room")).where("fit").select("__name", F.struct("k", "__key").alias("last"))
+    full = parts.where("whole").select("__name", F.struct(((F.col("part") + 1) * ((1 << 32) // PARTS) - 1).alias("k"), F.lit(chr(0x10FFFF)).alias("__key")).alias("last"))
+    last = some.unionByName(full).groupBy("__name").agg(F.max("last").alias("__last"))
+    return blocks.join(F.broadcast(last), "__name", "left").select("__name", "__block", "weight", "passes", "rank", "fits", F.when(F.col("cut"), F.col("__last")).alias("__last"))
+
+
+def _taken(rows: DataFrame, blocks: DataFrame, seed: str) -> DataFrame:
+    """rows with weight, copies and rank."""
+    blocks = F.broadcast(blocks) if blocks.select("__name").distinct().count() * BLOCKS <= BROADCAST_ROWS else blocks
+    more = F.col("fits") | F.coalesce(F.struct(_order(seed).alias("k"), F.col("__key")) <= F.col("__last"), F.lit(False))
+    return rows.join(blocks, ["__name", "__block"]).withColumn("copies", F.col("passes") + more.cast("long"))
+
+
+def mix(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float | None = 4.0, budget: float = 1.0, whole: bool = False, seed: str = "0") -> DataFrame:
+    """doc_id, source, n_tokens, weight, copies, rank for each row of docs(doc_id, text, source).
+
+    The target entropy lies by entropy_share between that of the shares and that of equal weights. budget: tokens to
+    be had, as a multiple of those there are; with whole, it is raised until each source is passed over once at
+    least, and max_repeats counts from there. copies: how often the document is to be taken; rank: of its block in the
+    last pass.
+    """
+    rows = _placed(docs.select("doc_id", "source", "text")).select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), "__name", "__key", "__block")
+    rows, _ = scratch.save(rows, "counted")
+    out = _taken(rows, _blocks(rows, entropy_share, max_repeats, budget, whole, seed), seed)
+    return out.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies", "rank")
 
 
 def _whole(tokens: list[int], max_repeats: float) -> tuple[float, float]:
@@ -148,17 +172,20 @@ def _whole(tokens: list[int], max_repeats: float) -> tuple[float, float]:
     return high, most(high)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, entropy_share: float | None = 0.5, max_repeats: float | None = 4.0, budget: float = 1.0, whole: bool = False, seed: str = "0") -> DataFrame:
     """docs as mix() has it: each row as often as it is to be taken."""
-    plan = mix(docs, **how).select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies")).groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    rows, at = scratch.save(_placed(docs.select("doc_id", "source", "text")).select("__name", "__key", "__block", n_tokens(F.col("text")).alias("n_tokens")), "counted")
+    blocks, _ = scratch.save(_blocks(rows, entropy_share, max_repeats, budget, whole, seed).drop("weight", "rank"), "decided")
+    scratch.drop(docs.sparkSession, at)
+    out = _taken(_placed(docs.select(F.struct("*").alias("__row"), "doc_id", "source", "text")), blocks, seed)
+    return out.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__row.*")
 
 
 SQL = r"""
 WITH RECURSIVE
-d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS name FROM documents),
-r AS (SELECT *, (('0x' || substr(md5(name || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024)::INT AS block FROM d),
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS name,
+  coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS key FROM documents),
+r AS (SELECT *, (('0x' || substr(md5(name || '|' || key), 1, 8))::BIGINT % 1024)::INT AS block FROM d),
 b AS (SELECT name, block, sum(n_tokens)::BIGINT AS t FROM r GROUP BY ALL),
 s AS (SELECT name, sum(t)::DOUBLE AS t FROM b GROUP BY name),
 tot AS (SELECT sum(t) AS total, count(*) FILTER (t > 0) AS n FROM s),
@@ -179,8 +206,8 @@ plan AS (SELECT name, weight, CASE WHEN t > 0 THEN floor(weight * total / t + 1e
   CASE WHEN t > 0 THEN greatest(0, weight * total - t * floor(weight * total / t + 1e-9)) ELSE 0 END AS rest FROM w),
 bb AS (SELECT b.*, weight, passes, rest, row_number() OVER o AS rank, sum(t) OVER o AS upto FROM (SELECT b.*, weight, passes, rest, md5('0|' || passes || '|' || name || '|' || block) AS key FROM b JOIN plan USING (name)) b
   WINDOW o AS (PARTITION BY name ORDER BY key, block)),
-pl AS (SELECT r.doc_id, r.source, r.n_tokens, r.name, weight, passes, rest, rank, upto, t, upto <= rest AS fits, upto > rest AND upto - t < rest AS cut FROM r JOIN bb USING (name, block)),
-c AS (SELECT *, upto - t + sum(n_tokens) OVER (PARTITION BY name ORDER BY ('0x' || substr(md5('0|' || name || '|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id) <= rest AS more FROM pl WHERE cut)
+pl AS (SELECT r.doc_id, r.source, r.n_tokens, r.name, r.key AS k, weight, passes, rest, rank, upto, t, upto <= rest AS fits, upto > rest AND upto - t < rest AS cut FROM r JOIN bb USING (name, block)),
+c AS (SELECT *, upto - t + sum(n_tokens) OVER (PARTITION BY name ORDER BY ('0x' || substr(md5('0|' || name || '|' || k), 1, 8))::BIGINT, k) <= rest AS more FROM pl WHERE cut)
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight, (passes + fits::BIGINT) AS copies, rank FROM pl WHERE NOT cut
 UNION ALL SELECT doc_id, source, n_tokens, round(weight, 9), (passes + more::BIGINT), rank FROM c
 """
