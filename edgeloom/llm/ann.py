@@ -3,34 +3,42 @@
 A vector, at length 1, is the sum of ``BOOKS`` codewords of full dimension. Each codebook is fitted by k-means to what
 the ones before leave; encoding is a beam search that keeps the ``BEAM`` best sums at each step. A code is BOOKS bytes
 and the length of the sum. For a query, its inner products with all codewords make lookup tables; the sum of the looked-up
-values over the stored length scores a row. The ``RERANK`` best of a batch are then scored on the original vectors, as
-``list_cosine_similarity`` of DuckDB does in double precision.
+values over the stored length scores a row. Over all that a query has looked at, the ``RERANK`` best scores are then
+taken to the original vectors and scored as ``list_cosine_similarity`` of DuckDB does, in double precision.
+
+A query doesn't look at all codes: vectors are dealt into lists by the nearest of about as many centres as the square
+root of their number (``LISTS`` at most), and a query looks through the ``PROBES`` nearest lists, and on until these hold
+``LOOKED`` vectors. Lists are cut into parts of about ``PART`` vectors, and what asks a part into groups of about ``ASKING``
+queries; a task compares one such part and group at a time, so its memory is bounded whatever the size of a list. None
+of these numbers depends on how many tasks there are, so neither do results.
 
 Equal vectors are one row of the index with its ``k`` + 1 smallest ids (more can't be among the nearest of any query
-after itself), so thousands of copies cost no more than one, for queries as well. Queries go in blocks of ``QUERIES``
-distinct vectors, which bounds what is broadcast and what comes to the driver, whatever the number of rows.
+after itself), so thousands of copies cost no more than one, for queries as well.
 
-Codebooks are fitted on at most ``SAMPLE`` distinct vectors (smallest hashes); all rows are indexed. Vectors that are
+Centres and codebooks are fitted on at most ``SAMPLE`` distinct vectors (smallest hashes); all rows are indexed. Vectors that are
 null, zero, or hold null or non-finite components take no part, nor do rows with null vec_id; of rows that repeat a
 vec_id with another vector, each is a candidate; a candidate with the query's own id is not one. Vectors must have one length
-among them: the most frequent one, the larger on a tie, and others take no part. Extra columns are ignored; an empty table gives an empty result.
+among them: the most frequent one, the larger on a tie, and others take no part. Vectors whose products leave the range
+of doubles have no order. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom import scratch
+from edgeloom.llm.rows import bound_batches, mapped
 
 BOOKS, WORDS, BEAM = 8, 256, 4
-SAMPLE, ROUNDS = 8192, 6
-RERANK = 256
-QUERIES = 4096
+SAMPLE, ROUNDS = 16_384, 6
+LISTS, PROBES, LOOKED = 2048, 24, 1024
+RERANK = 128
+PART, ASKING = 4096, 512
 
 
 def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -82,83 +90,123 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(x * y), -1, 1)
 
 
+def centres(x: np.ndarray, many: int) -> np.ndarray:
+    """So many unit vectors that the unit vectors x gather about."""
+    out = x[np.random.RandomState(9).permutation(len(x))[: min(many, len(x))]].astype(np.float32)
+    for _ in range(ROUNDS):
+        own = (x @ out.T).argmax(1)
+        sums = np.zeros_like(out)
+        np.add.at(sums, own, x)
+        length = np.sqrt((sums**2).sum(1))
+        out = np.where(length[:, None] > 1e-6, sums / np.maximum(length, 1e-6)[:, None], out)
+    return out
+
+
+def _rows(vectors: pa.Array) -> np.ndarray:
+    """A matrix of a slice's vectors of one length."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]  # so that squares stay finite
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v of the rows that take part."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.where(F.size("v") == (size["d"] if size else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 5, each: int = 50, queries: int = QUERIES) -> DataFrame:
+def _scored(books: np.ndarray, top: int):
+    """For a part of a list and a group of queries: the best codes of each query."""
+    kind = pa.schema([("q", pa.int64()), ("at", pa.list_(pa.int64())), ("about", pa.list_(pa.float32()))])
+
+    def run(asks: pa.Table, part: pa.Table) -> pa.Table:
+        if not asks.num_rows or not part.num_rows:
+            return kind.empty_table()
+        asks, part = asks.combine_chunks(), part.combine_chunks()
+        unit = _unit(_rows(asks["v"].chunk(0))).astype(np.float32)
+        codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+        length, ids, keep = part["length"].to_numpy(), part["at"].to_numpy(), min(top, part.num_rows)
+        at, about = [], []
+        for a in range(0, len(unit), 64):
+            tables = np.einsum("qd,mwd->mqw", unit[a : a + 64], books)
+            scores = sum(t[:, codes[:, m]] for m, t in enumerate(tables)) / length
+            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            at += list(ids[best])
+            about += list(np.take_along_axis(scores, best, 1).astype(np.float32))
+        return pa.table([asks["q"], pa.array(at, kind.field(1).type), pa.array(about, kind.field(2).type)], schema=kind)
+
+    return run
+
+
+def _exact(q: pa.Array, at: pa.Array, a: pa.Array, b: pa.Array) -> list:
+    return [q, at, cosine(_rows(a), _rows(b))]
+
+
+def nearest(vectors: DataFrame, k: int = 5, each: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row of vectors(vec_id, embedding) whose vec_id is divisible by ``each``."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     rows = _usable(vectors)
     # A few smallest ids of each vector: within parts of the ids first, so that no task gets all copies of a vector.
     part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     few = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), 1, k + 1)
     ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v", part).orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    index = ranked.groupBy("v").agg(few(F.collect_list("vec_id")).alias("ids"))
+    index = ranked.groupBy("v").agg(few(F.collect_list("vec_id")).alias("ids")).withColumn("at", F.monotonically_increasing_id())
     index, _ = scratch.save(index, "vectors")
-    sample = index.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()["v"]
-    result = "q long, ids array<long>, score double"
     asked, _ = scratch.save(rows.where(F.pmod("vec_id", F.lit(each)) == 0).select("v", "vec_id").distinct(), "asked")
-    # Numbers for distinct query vectors: their place by hash, a block at a time.
-    wanted, _ = scratch.save(asked.select("v").distinct().withColumn("h", F.xxhash64("v")), "queries")
-    if not len(sample):
+    wanted, _ = scratch.save(asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    total = index.count()
+    sample = [r["v"] for r in index.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()]
+    if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.stack(sample.to_numpy()).astype(np.float64)
-    books = fit(x / np.sqrt((x**2).sum(1))[:, None])
+    x = _unit(np.array(sample)).astype(np.float32)
+    del sample
+    books, mids = fit(x), centres(x, max(1, min(LISTS, len(x) // 8, math.isqrt(total))))
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                v = np.stack(b["v"].to_numpy()).astype(np.float64)
-                codes, length = encode(v / np.sqrt((v**2).sum(1))[:, None], books)
-                yield b.assign(code=[c.tobytes() for c in codes], length=length)
+    def coded(at: pa.Array, v: pa.Array) -> list:
+        unit = _unit(_rows(v))
+        codes, length = encode(unit, books)
+        return [at, (unit @ mids.T).argmax(1).astype(np.int32), [c.tobytes() for c in codes], length.astype(np.float64)]
 
     many = max(1, 2 * spark.sparkContext.defaultParallelism)
-    index, _ = scratch.save(index.repartition(many).mapInPandas(coded, "v array<float>, ids array<long>, code binary, length float"), "index")
-
-    parts, total = [], wanted.count()
-    blocks = max(1, -(-total // (queries // 2)))  # by hash, about half full, so that a block over the bound is out of the question
-    for block in range(blocks):
-        ask = wanted.where(F.pmod("h", F.lit(blocks)) == block).toPandas() if blocks > 1 else wanted.toPandas()
-        if not len(ask):
-            continue
-        q = np.stack(ask["v"].to_numpy())
-        names = ask["h"].to_numpy()
-
-        def search(batches: Iterator[pd.DataFrame], q=q, names=names) -> Iterator[pd.DataFrame]:
-            unit = q.astype(np.float64)
-            unit /= np.sqrt((unit**2).sum(1))[:, None]
-            tables = np.einsum("qd,mwd->qmw", unit, books).astype(np.float32)
-            for b in batches:
-                if not len(b):
-                    continue
-                v = np.stack(b["v"].to_numpy())
-                codes, length = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1), b["length"].to_numpy()
-                top = min(RERANK, len(b))
-                for a in range(0, len(q), 128):
-                    scores = sum(tables[a : a + 128, m][:, codes[:, m]] for m in range(len(books))) / length
-                    best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-                    who = np.repeat(np.arange(a, a + len(best)), top)
-                    exact = cosine(q[who], v[best.ravel()]).reshape(len(best), top)
-                    # Each query's k + 1 best rows hold k ids besides its own; rows of the last one's score are kept too.
-                    last = np.sort(exact, axis=1)[:, -min(k + 1, top)]
-                    i, j = np.nonzero(exact >= last[:, None])
-                    yield pd.DataFrame({"q": names[a + i], "ids": b["ids"].to_numpy()[best[i, j]], "score": exact[i, j]})
-
-        parts.append(scratch.save(index.mapInPandas(search, result), "found")[0])
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    # Ids of each vector: the k + 1 best, from rows that already are few for each task.
-    best = found.select("q", "score", F.explode("ids").alias("vec_id")).distinct()
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    hits = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("hits"))
-    hits = wanted.join(hits, F.col("h") == F.col("q")).select("v", "hits")
+    fields = {"at": pa.int64(), "list": pa.int32(), "code": pa.binary(), "length": pa.float64()}
+    codes, _ = scratch.save(mapped(index.select("at", "v").repartition(many), fields, lambda: coded, 512), "codes")
+    sizes = {r["list"]: r["n"] for r in codes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.array([sizes.get(i, 0) for i in range(len(mids))])
+    parts = np.maximum(1, -(-held // PART))
+
+    def probed(q: pa.Array, v: pa.Array) -> list:
+        order = (_unit(_rows(v)) @ -mids.T).argsort(1, kind="stable")
+        before = np.cumsum(held[order], 1) - held[order]
+        look = ((np.arange(len(mids)) < PROBES) | (before < LOOKED)) & (held[order] > 0)
+        return [q, [o[w].astype(np.int32) for o, w in zip(order, look, strict=True)]]
+
+    asks = mapped(wanted.select("q", "v"), {"q": pa.int64(), "lists": pa.list_(pa.int32())}, lambda: probed).select("q", F.explode("lists").alias("list"))
+    asks, _ = scratch.save(asks, "asks")
+    crowd = {r["list"]: -(-r["n"] // ASKING) for r in asks.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    how = spark.createDataFrame([(i, int(parts[i]), crowd[i]) for i in crowd], "list int, parts long, groups long")  # LISTS rows at most
+    asks = asks.join(F.broadcast(how), "list").join(wanted, "q")
+    asks = asks.select("q", "v", "list", F.pmod(F.xxhash64("q"), "groups").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    sides = codes.join(F.broadcast(how), "list")
+    sides = sides.select("at", "code", "length", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.pmod(F.xxhash64("at"), "parts").alias("p"))
+    key = ["list", "g", "p"]
+    found = asks.groupBy(*key).cogroup(sides.groupBy(*key)).applyInArrow(_scored(books, RERANK), "q long, at array<long>, about array<float>")
+    found, _ = scratch.save(found, "found")
+    # Of all that a query has looked at.
+    found = found.select("q", F.explode(F.arrays_zip("at", "about")).alias("x")).select("q", "x.at", "x.about")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("about"), "at"))).where(F.col("r") <= RERANK).select("q", "at")
+    pairs = best.join(wanted, "q").join(index.select("at", F.col("v").alias("w")), "at").select("q", "at", "v", "w")
+    scored = mapped(pairs, {"q": pa.int64(), "at": pa.int64(), "score": pa.float64()}, lambda: _exact, 1024)
+    hits = scored.join(index.select("at", "ids"), "at").select("q", "score", F.explode("ids").alias("vec_id")).distinct()
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+    hits = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("hits"))
+    hits = wanted.join(hits, "q").select("v", "hits")
     mine = asked.withColumnRenamed("vec_id", "query_id").join(hits, "v")
     mine = mine.select("query_id", F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k).alias("hits"))
     return mine.select("query_id", F.posexplode("hits").alias("p", "hit")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
