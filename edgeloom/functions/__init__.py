@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column functions: times, signatures of nodes, whole-text matching."""

@@ -5,35 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+from edgeloom.functions import signatures
 from edgeloom.plans.pattern import DuplicateId, Event, MissingKey, Pattern, UndefinedEntity, parse_order
 
 
-def spade_node(properties: dict) -> str:
-    """The signature that sources.edges.from_spade gives to such a node."""
-    kind, sub = properties.get("type"), properties.get("subtype")
-    if kind == "Process":
-        parts = ("Process", properties.get("name"))
-    elif sub == "network socket":
-        address = ":".join(x for x in (properties.get("remote address"), properties.get("remote port")) if x is not None)
-        parts = ("Artifact", sub, address)
-    elif kind == "Artifact":
-        parts = ("Artifact", sub, properties.get("path"))
-    else:
-        parts = (kind, properties.get("name"))
-    return "::".join(x for x in parts if x is not None)
-
-
-def darpa_node(properties: dict) -> str:
-    """The signature that sources.edges.from_darpa gives to such a node."""
-    probes = {"NetFlowObject_": "OBJECT_SOCKET", "UnnamedPipeObject_": "OBJECT_UNNAMEPIPE"}
-    told = [kind for start, kind in probes.items() if any(k.startswith(start) for k in properties)]
-    kind = told[0] if told else properties.get("type", "OTHER")
-    name = next((properties[k] for k in ("name", "path") if properties.get(k) is not None), "")
-    return f"{kind}::{name}"
-
-
-#: Kind of graph to the signature of a node and the properties that can hold an edge's, in the order of trying.
-KINDS = {"spade": (spade_node, ("operation",)), "darpa": (darpa_node, ("operation", "type"))}
+#: Kind of graph to the signature of a node, and the property that holds an edge's.
+KINDS = {"spade": (signatures.spade_text, "operation"), "darpa": (signatures.darpa_text, "type")}
 
 
 def _parsed(lines: Iterable[str], key: str) -> list[dict]:
@@ -50,7 +27,10 @@ def from_property_graph(nodes: Iterable[str], edges: Iterable[str], order: str,
     for n in _parsed(nodes, "node"):
         if (k := int(n["id"])) in found:
             raise DuplicateId(f"entity {k}")
-        found[k] = signature(n.get("properties", {}))
+        try:
+            found[k] = signature(n.get("properties", {}))
+        except KeyError as e:
+            raise MissingKey(f"{e.args[0]} of entity {k}") from e
     place = {k: i for i, k in enumerate(found)}
     rows, events = _parsed(edges, "edge"), []
     parents = parse_order(order, len(rows))
@@ -58,8 +38,9 @@ def from_property_graph(nodes: Iterable[str], edges: Iterable[str], order: str,
         ends = [int(e[x]["id"]) for x in ("start", "end")]
         if missing := [k for k in ends if k not in place]:
             raise UndefinedEntity(str(missing[0]))
-        told = next((v for x in named if (v := e.get("properties", {}).get(x)) is not None), "")
-        events.append(Event(told, place[ends[0]], place[ends[1]], parents=parents.get(i, ())))
+        if named not in e.get("properties", {}):
+            raise MissingKey(f"{named} of event {i}")
+        events.append(Event(e["properties"][named], place[ends[0]], place[ends[1]], parents=parents.get(i, ())))
     return Pattern(tuple(found.values()), tuple(events), use_regex)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from dataclasses import dataclass, replace
 
 VERSION = "0.2.0"
@@ -163,10 +164,15 @@ class Pattern:
             ends = [_get(e, x, int) for x in ("SubjectID", "ObjectID")]
             if missing := [x for x in ends if x not in place]:
                 raise UndefinedEntity(str(missing[0]))
-            parents = e.get("Parents") or []
+            parents = e.get("Parents")
+            parents = [] if parents is None else _get(e, "Parents", list)
+            if any(not isinstance(p, int) or isinstance(p, bool) for p in parents):
+                raise WrongType("Parents")
             if missing := [p for p in parents if p not in numbers]:
                 raise UndefinedEvent(str(missing[0]))
             signature = e.get("Signature", "") if kind == "flow" else _get(e, "Signature", str)
+            if not signature and kind != "flow":
+                warnings.warn(f"event {e['ID']} has an empty signature, which edges without one match only", stacklevel=2)
             events.append(Event(signature, place[ends[0]], place[ends[1]], kind, k, tuple(numbers[p] for p in parents)))
         regex = spec.get("UseRegex", True)
         if not isinstance(regex, bool):

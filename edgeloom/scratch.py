@@ -1,8 +1,8 @@
 """Intermediate tables and folders that every executor and the driver can reach.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost executor costs a reread and never a
-recomputation of the whole job. The setting is read from the session; only where it is unset (tests, local mode)
-is a temporary folder made.
+recomputation of the whole job. The setting is read from the session; only where it is unset and the session is a local
+one (tests) is a temporary folder made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def root(spark: SparkSession) -> str:
     if app not in _OWN:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="edgeloom-")
         _OWN[app] = f"{base.rstrip('/')}/edgeloom-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_clear, spark, app)

@@ -6,27 +6,38 @@ third digit, never rounded through a double.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edgeloom.functions import signatures
+from edgeloom.functions.times import epoch_ms, seconds_of_nanos, timestamp_ms
+
 RAW = ("start_time", "end_time", "event_id", "event_sig", "subject_id", "subject_sig", "object_id", "object_sig")
 EDGE = ("ts_ms", "seq", "event_id", "event_sig", "subject_id", "subject_sig", "object_id", "object_sig")
 EDGE_SCHEMA = T.StructType([T.StructField(c, T.StringType() if c.endswith("sig") else T.LongType()) for c in EDGE])
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW])
-TIME = r"^([0-9]+)(?:\.([0-9]{0,3}).*)?$"
-
-
-def timestamp_ms(text: Column) -> Column:
-    """Decimal seconds as milliseconds; null for what isn't."""
-    whole, part = F.regexp_extract(text, TIME, 1), F.regexp_extract(text, TIME, 2)
-    return F.when(text.rlike(TIME), whole.try_cast("bigint") * 1000 + F.rpad(part, 3, "0").try_cast("bigint"))
+#: Where read_csv keeps a line that has another number of columns.
+MALFORMED = "malformed"
 
 
 def read_csv(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """The raw columns as text. Rows of another number of columns are dropped."""
+    """The raw columns as text; malformed, the line where it has another number of columns, else null; and, of a batch, seq, its place.
+
+    seq orders lines by file name and by their place in the file. A split starts at its first byte, and has no more
+    lines than bytes; a split that shares a task with others is the last of its file, so sums of both keep the order.
+    """
+    schema = T.StructType([*RAW_SCHEMA, T.StructField(MALFORMED, T.StringType())])
     reader = spark.readStream if streaming else spark.read
-    return reader.schema(RAW_SCHEMA).option("header", False).option("mode", "DROPMALFORMED").option("columnPruning", False).option("escape", '"').csv(path)
+    rows = reader.schema(schema).option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False).option("escape", '"').csv(path)
+    if streaming:
+        return rows
+    files = sorted(rows.inputFiles())
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if len(files) < 2:
+        return rows.withColumn("seq", place)
+    ranks = F.broadcast(spark.createDataFrame([(f, k << 44) for k, f in enumerate(files)], "__file string, __rank long"))  # a row for each file
+    return rows.withColumns({"__place": place, "__of": F.input_file_name()}).join(ranks, F.col("__of") == F.col("__file"), "left").withColumn("seq", F.coalesce("__rank", F.lit(0)) + F.col("__place")).drop("__place", "__of", "__file", "__rank")
 
 
 def typed(raw: DataFrame) -> DataFrame:
@@ -38,9 +49,13 @@ def typed(raw: DataFrame) -> DataFrame:
 _NEEDED = " and ".join(f"{c} is not null" for c in ("start_ms", "event_id", "subject_id", "object_id", "event_sig", "subject_sig", "object_sig"))
 
 
+def _needed(raw: DataFrame) -> str:
+    return f"{_NEEDED} and {MALFORMED} is null" if MALFORMED in raw.columns else _NEEDED
+
+
 def rejects(raw: DataFrame) -> DataFrame:
-    """The typed rows that edges() leaves out."""
-    return typed(raw).where(f"not ({_NEEDED})")
+    """The typed rows that edges() leaves out, lines of another number of columns among them."""
+    return typed(raw).where(f"not ({_needed(raw)})")
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
@@ -53,7 +68,7 @@ def edges(raw: DataFrame) -> DataFrame:
     """The edge table of raw text columns. seq, which breaks ties of time, is a column of raw or the row's place in it; in a stream, the event's id."""
     if "seq" not in raw.columns:
         raw = raw.withColumn("seq", F.col("event_id").try_cast("bigint") if raw.isStreaming else F.monotonically_increasing_id())
-    return with_duplicates(typed(raw).where(_NEEDED)).select(*EDGE)
+    return with_duplicates(typed(raw).where(_needed(raw))).select(*EDGE)
 
 
 def from_six_columns(lines: DataFrame) -> DataFrame:
@@ -72,43 +87,34 @@ def from_six_columns(lines: DataFrame) -> DataFrame:
 _NODE = "struct<id: string, properties: map<string, string>>"
 
 
-def from_spade(lines: DataFrame, reverse: bool = False) -> DataFrame:
-    """Raw columns from lines(value) of JSON {r: relation, m: node, n: node}. reverse swaps subject and object."""
-    row = lines.select(F.from_json("value", f"r {_NODE}, m {_NODE}, n {_NODE}").alias("j"))
-    p = lambda k, name: F.col(f"j.{k}.properties")[name]
-
-    def signature(k: str) -> Column:
-        sub = p(k, "subtype")
-        net = F.concat_ws("::", F.lit("Artifact"), sub, F.concat_ws(":", p(k, "remote address"), p(k, "remote port")))
-        return (
-            F.when(p(k, "type") == "Process", F.concat_ws("::", F.lit("Process"), p(k, "name")))
-            .when(sub == "network socket", net)
-            .when(p(k, "type") == "Artifact", F.concat_ws("::", F.lit("Artifact"), sub, p(k, "path")))
-            .otherwise(F.concat_ws("::", p(k, "type"), p(k, "name")))
-        )
-
-    start = F.coalesce(p("r", "time"), p("r", "earliest"))
-    end = F.coalesce(p("r", "time"), p("r", "lastest"), p("r", "latest"), p("r", "earliest"))
-    a, b = ("n", "m") if reverse else ("m", "n")
-    return row.select(
-        start.alias("start_time"), end.alias("end_time"), F.col("j.r.id").alias("event_id"), p("r", "operation").alias("event_sig"),
-        F.col(f"j.{a}.id").alias("subject_id"), signature(a).alias("subject_sig"), F.col(f"j.{b}.id").alias("object_id"), signature(b).alias("object_sig"),
+def _relation(lines: DataFrame) -> DataFrame:
+    return lines.select(F.from_json("value", f"r {_NODE}, m {_NODE}, n {_NODE}").alias("j")).select("j.*")
+
+
+def _raw(rows: DataFrame, signature, start, end, kind: str, subject: str = "m", object_: str = "n") -> DataFrame:
+    return rows.select(
+        start.alias("start_time"), end.alias("end_time"), F.col("r.id").alias("event_id"), F.col("r.properties")[kind].alias("event_sig"),
+        F.col(f"{subject}.id").alias("subject_id"), signature(F.col(f"{subject}.properties")).alias("subject_sig"),
+        F.col(f"{object_}.id").alias("object_id"), signature(F.col(f"{object_}.properties")).alias("object_sig"),
     )
 
 
+def _times() -> tuple:
+    """Start and end: ``earliest`` and ``lastest`` (so spelt; also ``latest``) where there is an earliest, else ``time`` for both."""
+    p = F.col("r.properties")
+    there = p["earliest"].isNotNull()
+    return F.when(there, p["earliest"]).otherwise(p["time"]), F.when(there, F.coalesce(p["lastest"], p["latest"])).otherwise(p["time"])
+
+
+def from_spade(lines: DataFrame, reverse: bool = False) -> DataFrame:
+    """Raw columns from lines(value) of JSON {r: relation, m: node, n: node}. reverse swaps subject and object. Nulls where something lacks."""
+    return _raw(_relation(lines), signatures.spade, *_times(), "operation", *(("n", "m") if reverse else ("m", "n")))
+
+
 def from_darpa(lines: DataFrame) -> DataFrame:
-    """Raw columns from lines(value) of JSON {r, m, n} with times in nanoseconds; a node's type is told by its properties."""
-    row = lines.select(F.from_json("value", f"r {_NODE}, m {_NODE}, n {_NODE}").alias("j"))
-    p = lambda k, name: F.col(f"j.{k}.properties")[name]
-    has = lambda k, start: F.exists(F.map_keys(F.col(f"j.{k}.properties")), lambda x: x.startswith(start))
-    kind = lambda k: F.when(has(k, "NetFlowObject_"), "OBJECT_SOCKET").when(has(k, "UnnamedPipeObject_"), "OBJECT_UNNAMEPIPE").otherwise(F.coalesce(p(k, "type"), F.lit("OTHER")))
-    named = lambda k: F.concat_ws("::", kind(k), F.coalesce(p(k, "name"), p(k, "path"), F.lit("")))
-    ns = F.coalesce(p("r", "time"), p("r", "timestampNanos"), p("r", "earliest")).try_cast("bigint")
-    seconds = lambda t: F.concat((t / F.lit(1_000_000_000)).cast("bigint").cast("string"), F.lit("."), F.lpad((F.floor(t / F.lit(1_000_000)) % 1000).cast("string"), 3, "0"))
-    return row.select(
-        seconds(ns).alias("start_time"), seconds(ns).alias("end_time"), F.col("j.r.id").alias("event_id"), F.coalesce(p("r", "operation"), p("r", "type")).alias("event_sig"),
-        F.col("j.m.id").alias("subject_id"), named("m").alias("subject_sig"), F.col("j.n.id").alias("object_id"), named("n").alias("object_sig"),
-    )
+    """Raw columns from lines(value) of JSON {r, m, n} with times in whole nanoseconds. Nulls where something lacks."""
+    start, end = _times()
+    return _raw(_relation(lines), signatures.darpa, seconds_of_nanos(start), seconds_of_nanos(end), "type")
 
 
 def odd_lines(lines: DataFrame) -> DataFrame:
@@ -123,7 +129,7 @@ def odd_lines(lines: DataFrame) -> DataFrame:
 def from_events(events: DataFrame) -> DataFrame:
     """Users and keys of the events table. View and click go from key to user, the others from user to key."""
     key = (F.get_json_object("props", "$.k").cast("bigint") + 1_000_000).alias("key")
-    rows = events.select(F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts_ms"), "event_id", "event_type", "user_id", key)
+    rows = events.select(epoch_ms("ts").alias("ts_ms"), "event_id", "event_type", "user_id", key)
     read = F.col("event_type").isin("view", "click")
     user, item = F.concat(F.lit("User::"), F.col("user_id")), F.concat(F.lit("Key::"), F.col("key"))
     return rows.select(
@@ -136,7 +142,7 @@ def from_events(events: DataFrame) -> DataFrame:
 def from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Customer to order, signature ``place``."""
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000").alias("ts_ms"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("event_id"), F.lit("place").alias("event_sig"),
+        epoch_ms("o_orderdate").alias("ts_ms"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("event_id"), F.lit("place").alias("event_sig"),
         (F.col("o_custkey") + 1_000_000_000).alias("subject_id"), F.concat(F.lit("Customer::"), F.col("c_mktsegment")).alias("subject_sig"),
         (F.col("o_orderkey") + 2_000_000_000).alias("object_id"), F.concat(F.lit("Order::"), F.col("o_orderpriority")).alias("object_sig"),
     )
@@ -148,7 +154,7 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     Ids are 60 bits of the MD5 of order, part, supplier, line, flag and time; rows that share all of these are one event.
     Numbering rows in an order of all columns would take the whole table through one task.
     """
-    ms = F.expr("unix_micros(cast(l_shipdate as timestamp)) div 1000").alias("ts_ms")
+    ms = epoch_ms("l_shipdate").alias("ts_ms")
     rows = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", ms).distinct()
     text = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "ts_ms")))
     number = lambda kind: F.conv(F.substring(F.md5(F.concat(F.lit(kind), text)), 1, 15), 16, 10).cast("bigint")

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from edgeloom import __main__, api, measure
+from edgeloom.functions import signatures
 from edgeloom.operators.generate import planted
 from edgeloom.plans import legacy
 from edgeloom.plans.pattern import Pattern, UndefinedEntity
@@ -28,10 +29,22 @@ def test_property_graph(tmp_path):
 
 def test_node_signatures(spark):
     """The importer's are the sources' own."""
-    some = [{"type": "Process", "name": "a"}, {"type": "Artifact", "subtype": "file", "path": "/p"}, {"type": "Artifact", "subtype": "network socket", "remote address": "1.2.3.4", "remote port": "80"}, {"type": "Agent", "name": "root"}, {"type": "Process"}, {"NetFlowObject_x": "1", "name": "n"}, {"UnnamedPipeObject_x": "1"}, {"path": "/q"}]
+    some = [
+        {"type": "Process", "name": "a"}, {"type": "Artifact", "subtype": "file", "path": "/p"}, {"type": "Artifact", "subtype": "directory", "path": "/d"}, {"type": "Artifact", "subtype": "network socket", "remote address": "1.2.3.4", "remote port": "80"},
+        {"type": "Artifact", "subtype": "unnamed pipe"}, {"type": "Agent", "name": "root"}, {"type": "Process"}, {"type": "Artifact"}, {"type": "Process", "name": "b", "subtype": "file"},
+        {"NetFlowObject_baseObject_epoch": "1", "NetFlowObject_remoteAddress": "h", "NetFlowObject_remotePort": "9", "type": "x"}, {"UnnamedPipeObject_baseObject_epoch": "1"}, {"path": "/q"}, {},
+        {"type": "SUBJECT_UNIT", "Subject_properties_map_name": "n"}, {"type": "FILE_OBJECT_CHAR", "path": "/c"}, {"type": "SRCSINK_UNKNOWN", "SrcSinkObject_pid": "3"}, {"type": "SRCSINK_UNKNOWN"},
+    ]
+
+    def text(own, x):
+        try:
+            return own(x)
+        except KeyError:
+            return None
+
     lines = spark.createDataFrame([(json.dumps({"r": {"id": str(k), "properties": {"time": "1"}}, "m": {"id": "1", "properties": x}, "n": {"id": "2", "properties": x}}),) for k, x in enumerate(some)], "value string")
-    for read, own in ((src.from_spade, legacy.spade_node), (src.from_darpa, legacy.darpa_node)):
-        assert {int(r.event_id): r.subject_sig for r in read(lines).collect()} == {k: own(x) for k, x in enumerate(some)}
+    for read, own in ((src.from_spade, signatures.spade_text), (src.from_darpa, signatures.darpa_text)):
+        assert {int(r.event_id): r.subject_sig for r in read(lines).collect()} == {k: text(own, x) for k, x in enumerate(some)}
 
 
 def test_json_round_trip():
