@@ -1,48 +1,142 @@
 """Time-respecting reachability: which node's influence has reached which other, when it left and when it came.
 
-A fix-point of DataFrame joins. A round extends what the last one found by one arc, keeps the latest departure of each
-(src, dst, arrive), and drops what an earlier or equal arrival with as late a departure makes useless; that is all that
-extensions or emissions need, and it makes cycles at one instant end. Rounds are written to the shared folder. An arc
-belongs to the cell of time, a window wide, that it lies in, and what is extended to the two that its next arc can lie
-in, so that a node of very many arcs is dealt over tasks.
+A row (src, dst, depart, arrive) is kept if no row of the pair that arrives earlier or then departs as late. Time falls
+into cells of a window; what arrives in a cell is made of arcs of that cell and the one before.
+
+Cells are counted first. Those whose arcs, sources times targets, and arcs times sources are under fixed bounds are worked off one in
+a task, in order of time: each arc hands on what has reached its start, and arcs of one instant are repeated until they
+hand on nothing new. The arcs of a bounded cell go to two tasks each and nothing else is shuffled.
+
+The other cells, however many arcs they have, are worked off together in a fix-point of joins. A round extends only what
+the round before found, by one arc, and keeps what the known rows of the same pairs don't make useless; known rows are
+written round by round and never rewritten. Only targets that are asked for come out, and arcs that lead to none of them
+within a window are left out from the last hop on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom import scratch
 
+#: What one task takes: arcs of a cell and the one before, sources times targets among them, and arcs times sources.
+ARCS, PAIRS, ROWS = 200_000, 1_000_000, 10_000_000
+REACH = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("depart", pa.int64()), ("arrive", pa.int64())])
+
 
 def _useful(rows: DataFrame) -> DataFrame:
-    """Of each (src, dst), the rows that depart later than all that have arrived before; the latest departure of an arrival.
+    """Of each (src, dst), the rows that depart later than all that have arrived before; the latest departure of an arrival."""
+    best = rows.groupBy("src", "dst", "arrive").agg(F.max("depart").alias("depart"))
+    before = Window.partitionBy("src", "dst").orderBy("arrive").rowsBetween(Window.unboundedPreceding, -1)
+    return best.withColumn("top", F.max("depart").over(before)).where("top is null or depart > top").select("src", "dst", "depart", "arrive")
 
-    The round is the first that found that departure, so that a later departure for an arrival known already is extended too.
+
+def updates(arcs: list[tuple[int, int, int, bool, bool]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """Rows in order of arrival, from arcs (t, a, b, whether a is a source, whether b is a target) in order of t.
+
+    latest[b] has, for each source that has reached b, when it last departed.
     """
-    best = rows.groupBy("src", "dst", "arrive").agg(F.max(F.struct("depart", (-F.col("round")).alias("early"))).alias("top"))
-    best = best.select("src", "dst", "arrive", F.col("top.depart").alias("depart"), (-F.col("top.early")).alias("round"))
-    before = Window.partitionBy("src", "dst").orderBy("arrive").rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("top", F.max("depart").over(before)).where("top is null or depart > top").drop("top")
-    return best
+    latest: dict[int, dict[int, int]] = {}
+    k = 0
+    while k < len(arcs):
+        t, end = arcs[k][0], k
+        while end < len(arcs) and arcs[end][0] == t:
+            end += 1
+        changed: dict[tuple[int, int], int] = {}
+        again = True
+        while again:
+            again = False
+            for _, a, b, source, _ in arcs[k:end]:
+                there = latest.setdefault(b, {})
+                sent = [(s, d) for s, d in latest.get(a, {}).items() if s != b and t - d <= window and there.get(s, t - window - 1) < d]
+                if source and there.get(a, t - window - 1) < t:
+                    sent.append((a, t))
+                for s, d in sent:
+                    there[s] = changed[s, b] = d
+                again = again or bool(sent)
+            again = again and end - k > 1
+        wanted = {b for _, _, b, _, target in arcs[k:end] if target}
+        yield from ((s, b, d, t) for (s, b), d in changed.items() if b in wanted)
+        k = end
+
 
+def _of_cell(window: int):
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        cell, g = key[0].as_py(), g.sort_by("t")
+        rows = [r for r in updates(list(zip(*(g[c].to_pylist() for c in ("t", "a", "b", "source", "target")), strict=True)), window) if r[3] // window == cell]
+        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=REACH)
 
-def reach(edges: DataFrame, window_ms: int, sources: DataFrame | None = None) -> DataFrame:
+    return run
+
+
+def _fixpoint(arcs: DataFrame, window_ms: int) -> DataFrame:
+    """Of arcs(a, b, t, cell, source), all rows."""
+    spark = arcs.sparkSession
+    read = lambda paths: spark.read.schema("src long, dst long, depart long, arrive long").parquet(*paths)
+    first = arcs.where("source").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("depart"), F.col("t").alias("arrive"))
+    delta, where = scratch.save(first.distinct(), "reach")
+    paths = [where]
+    cells = F.sequence(F.floor(F.col("arrive") / window_ms), F.floor((F.col("depart") + window_ms) / window_ms))
+    while True:
+        new = delta.withColumn("near", F.explode(cells))
+        new = new.join(arcs, (F.col("dst") == F.col("a")) & (F.col("near") == F.col("cell")) & (F.col("t") >= F.col("arrive")) & (F.col("t") - F.col("depart") <= window_ms) & (F.col("b") != F.col("src")))
+        new = new.groupBy("src", F.col("b").alias("dst"), F.col("t").alias("arrive")).agg(F.max("depart").alias("depart"))
+        new, at = scratch.save(new, "found")
+        known = read(paths).join(new.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+        both = known.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
+        # At one arrival, what is known goes before what is found, so that only a later departure is news.
+        ahead = Window.partitionBy("src", "dst").orderBy("arrive", "fresh").rowsBetween(Window.unboundedPreceding, -1)
+        news = both.withColumn("top", F.max("depart").over(ahead)).where("fresh = 1 and (top is null or depart > top)").select("src", "dst", "depart", "arrive")
+        delta, where = scratch.save(news, "reach")
+        scratch.drop(spark, at)
+        if not delta.take(1):
+            return _useful(read(paths))
+        paths.append(where)
+
+
+def reach(edges: DataFrame, window_ms: int, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """src, dst, depart, arrive: each time that dst learns of a later departure from src, at most window_ms before.
 
-    sources(entity_id) limits where flows start. Arcs from a node to itself count for nothing.
+    sources(entity_id) limits where flows start, targets(entity_id) where they end. Arcs from a node to itself count for nothing.
     """
-    arcs, _ = scratch.save(edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("ts_ms").alias("t")).distinct().withColumn("cell", F.floor(F.col("t") / window_ms)), "arcs")
-    first = arcs if sources is None else arcs.join(sources, F.col("a") == F.col("entity_id"), "left_semi")
-    known, where = scratch.save(first.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("t").alias("depart"), F.col("t").alias("arrive"), F.lit(0).alias("round")), "reach")
-    step = 0
-    while True:
-        cells = F.sequence(F.floor(F.col("arrive") / window_ms), F.floor((F.col("depart") + window_ms) / window_ms))
-        new = known.where(F.col("round") == step).withColumn("near", F.explode(cells))
-        more = new.join(arcs, (F.col("dst") == F.col("a")) & (F.col("near") == F.col("cell")) & (F.col("t") >= F.col("arrive")) & (F.col("t") - F.col("depart") <= window_ms) & (F.col("b") != F.col("src")))
-        more = more.select("src", F.col("b").alias("dst"), "depart", F.col("t").alias("arrive"), F.lit(step + 1).alias("round"))
-        old, (known, now) = where, scratch.save(_useful(known.unionByName(more.distinct())), "reach")
-        scratch.drop(known.sparkSession, old)
-        where, step = now, step + 1
-        if not known.where(F.col("round") == step).take(1):
-            return known.select("src", "dst", "depart", "arrive")
+    spark = edges.sparkSession
+    arcs = edges.where("subject_id <> object_id").select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("ts_ms").alias("t")).distinct()
+    for ends, column, name in ((sources, "a", "source"), (targets, "b", "target")):
+        if ends is None:
+            arcs = arcs.withColumn(name, F.lit(True))
+        else:
+            arcs = arcs.join(ends.select(F.col("entity_id").alias(column), F.lit(True).alias("__in")), column, "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("__in")
+    arcs, _ = scratch.save(arcs.withColumn("cell", F.floor(F.col("t") / window_ms)).select("a", "b", "t", "source", "target", "cell"), "arcs")
+    here = arcs.select("*", F.explode(F.array("cell", F.col("cell") + 1)).alias("of"))
+    size = here.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(F.col("source"), F.col("a")), 0.02).alias("s"), F.approx_count_distinct("b", 0.02).alias("d"), F.max(F.col("cell") == F.col("of")).alias("own"), F.max("source").alias("any"))
+    size = size.where("own and any")  # else nothing arrives there
+    size, _ = scratch.save(size.select("of", ((F.col("n") <= ARCS) & (F.col("s") * F.col("d") <= PAIRS) & (F.col("n") * F.col("s") <= ROWS)).alias("small")), "cells")
+    counts = {r["small"]: r["n"] for r in size.groupBy("small").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = []
+    if counts.get(True):
+        own = here.join(size.where("small").select("of"), "of").groupBy("of")
+        parts.append(own.applyInArrow(_of_cell(window_ms), "src long, dst long, depart long, arrive long"))
+    if counts.get(False):
+        large = size.where("not small").select("of")
+        near = large.select(F.explode(F.array(F.col("of"), F.col("of") - 1)).alias("cell")).distinct()
+        some = arcs.join(near, "cell")
+        if targets is not None:
+            some = _leading(some, window_ms)
+        found = _fixpoint(some, window_ms).withColumn("of", F.floor(F.col("arrive") / window_ms)).join(large, "of").drop("of")
+        if targets is not None:
+            found = found.join(targets.select(F.col("entity_id").alias("dst")), "dst", "left_semi").select("src", "dst", "depart", "arrive")
+        parts.append(found)
+    if not parts:
+        return spark.createDataFrame([], "src long, dst long, depart long, arrive long")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _leading(arcs: DataFrame, window_ms: int) -> DataFrame:
+    """The arcs that end in a target, or from whose end some arc goes on at that time or later within a window."""
+    last = arcs.groupBy(F.col("a").alias("b"), "cell").agg(F.max("t").alias("last")).select("b", "last", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
+    last = last.groupBy("b", "cell").agg(F.max("last").alias("last"))
+    return arcs.join(last, ["b", "cell"], "left").where("target or last >= t").drop("last")
