@@ -1,35 +1,36 @@
-"""All occurrences of a pattern, as one plan of joins.
+"""All occurrences of a pattern, as joins of partial matches.
 
-Events are joined in the planner's order. A join's keys are the entities bound already and a cell of time; order,
-window, distinct entities and distinct event ids are its other conditions, so that they cut at every step. Only ids and
-times travel. Cells are a window wide: an event has one by its start, a partial match those in which its next event can
-start, three at most. So an entity of very many events is dealt over tasks, and pairs further apart are never formed.
+One pass over the edges leaves narrow rows (ids, times, and which events of the pattern a row can be), written once and
+read for each event. A chain of the pattern is matched event by event; the chains' matches are then joined by the
+planner's tree, in which both sides of every join share an entity.
+
+A join's keys are the shared entities and a cell of time; order, window, distinct entities and distinct event ids are
+its other conditions, so that they cut at every step. Only ids and times travel. Cells are a window wide: the right side
+has one by its start, a row of the left side those in which what joins it can start, three at most. So an entity of very
+many events is dealt over tasks, and pairs further apart are never formed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom import scratch
 from edgeloom.operators import candidates as cand
 from edgeloom.operators import flow, frequency
+from edgeloom.plans import planner
 from edgeloom.plans.pattern import Pattern
-from edgeloom.plans.planner import decompose, join_order
 
 
-def event_table(edges: DataFrame, p: Pattern, i: int, window_ms: int) -> DataFrame:
-    """src, dst, start_ms, end_ms, ids of what event i can be bound to; a flow has no ids."""
-    e = p.events[i]
-    if e.kind == "flow":
-        found = flow.reach(edges, window_ms, cand.node_matches(edges, p, e.subject))
-        found = found.join(cand.node_matches(edges, p, e.object), F.col("dst") == F.col("entity_id"), "left_semi")
-        return found.select("src", "dst", F.col("depart").alias("start_ms"), F.col("arrive").alias("end_ms"), F.array().cast("array<bigint>").alias("ids"))
-    rows = cand.event_candidates(edges, p, i)
-    if e.kind == "frequency":
-        return frequency.runs(rows, e.frequency, window_ms)
-    return rows.select("src", "dst", F.col("ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.array("event_id").alias("ids"))
+@dataclass(frozen=True)
+class Part:
+    """Partial matches of some events: start_ms, end_ms; for each event i ids_i, src_i, dst_i, s_i, t_i; for each entity j v_j."""
+
+    df: DataFrame
+    events: tuple[int, ...]
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -44,53 +45,164 @@ def _cell(ms: Column, window_ms: int) -> Column:
     return F.floor(ms / window_ms)
 
 
-def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, flow_order: str = "all", tables: dict[int, DataFrame] | None = None) -> DataFrame:
+class Matcher:
+    """The joins of one pattern under one window and set of options."""
+
+    def __init__(self, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all"):
+        if window_ms <= 0:
+            raise ValueError("the window must be positive")
+        if event_uniqueness not in ("global", "chain"):
+            raise ValueError(event_uniqueness)
+        if flow_order not in ("all", "chain"):
+            raise ValueError(flow_order)
+        self.p, self.window_ms = p.optimize(), window_ms
+        self.chains = planner.decompose(self.p)
+        self.chain_of = {i: n for n, c in enumerate(self.chains) for i in c}
+        self.everywhere, self.strict = event_uniqueness == "global", flow_order == "all"
+
+    def _plain(self, df: DataFrame, i: int) -> DataFrame:
+        """df(src, dst, start_ms, end_ms, ids) with a part's columns."""
+        e, cols = self.p.events[i], ["start_ms", "end_ms"]
+        names = {"src": f"src_{i}", "dst": f"dst_{i}", "start_ms": f"s_{i}", "end_ms": f"t_{i}", "ids": f"ids_{i}"}
+        own = {e.subject: "src", e.object: "dst"}
+        return df.select(*cols, *[F.col(c).alias(n) for c, n in names.items()], *[F.col(c).alias(f"v_{v}") for v, c in own.items()])
+
+    def table(self, edges: DataFrame, narrow: DataFrame, i: int, after: Part | None = None) -> DataFrame:
+        """src, dst, start_ms, end_ms, ids of what event i can be bound to; a flow has no ids. after: partial matches that it must fit."""
+        e = self.p.events[i]
+        if e.kind == "flow":
+            ends = [cand.node_matches(edges, self.p, v) for v in (e.subject, e.object)]
+            found = flow.reach(edges, self.window_ms, *ends)
+            return found.select("src", "dst", F.col("depart").alias("start_ms"), F.col("arrive").alias("end_ms"), F.array().cast("array<bigint>").alias("ids"))
+        rows = cand.of_event(narrow, i)
+        if e.kind == "frequency":
+            return frequency.runs(self._fitting(rows, i, after), e.frequency, self.window_ms)
+        return rows.select("src", "dst", F.col("ts_ms").alias("start_ms"), F.col("ts_ms").alias("end_ms"), F.array("event_id").alias("ids"))
+
+    def _fitting(self, rows: DataFrame, i: int, after: Part | None) -> DataFrame:
+        """Candidate rows whose bound ends occur in the partial matches."""
+        if after is None:
+            return rows
+        e, bound = self.p.events[i], planner.entities(self.p, after.events)
+        keys = {f"v_{v}": c for v, c in {e.subject: "src", e.object: "dst"}.items() if v in bound}
+        return rows.join(after.df.select(*[F.col(v).alias(c) for v, c in keys.items()]).distinct(), list(keys.values()), "left_semi")
+
+    def _loose(self, a: int, b: int) -> bool:
+        return not self.strict and self.p.events[b].kind == "flow" and self.chain_of[a] == self.chain_of[b]
+
+    def _order(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[Column]:
+        """What the pattern's order says between events of a and of b."""
+        out = []
+        for i, q in [*((i, q) for i in b for q in self.p.events[i].parents if q in a), *((i, q) for i in a for q in self.p.events[i].parents if q in b)]:
+            out.append(F.col(f"t_{q}") <= F.col(f"t_{i}" if self._loose(q, i) else f"s_{i}"))
+        return out
+
+    def _unique(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[Column]:
+        events, out = self.p.events, []
+        for q in a:
+            for i in b:
+                if "flow" not in (events[q].kind, events[i].kind) and (self.everywhere or self.chain_of[q] == self.chain_of[i]):
+                    one = events[q].kind == events[i].kind == "default"
+                    out.append(F.col(f"ids_{q}")[0] != F.col(f"ids_{i}")[0] if one else ~F.arrays_overlap(f"ids_{q}", f"ids_{i}"))
+        return out
+
+    def _met(self, a: Part, b: tuple[int, ...], right: DataFrame, more: list[Column]) -> DataFrame:
+        """a's rows with those of right, partial matches of events b, that share entities and lie near in time."""
+        p, w = self.p, self.window_ms
+        bound, new = planner.entities(p, a.events), planner.entities(p, b)
+        low, high = [F.col("end_ms") - w], [F.col("start_ms") + w]
+        if len(b) == 1:
+            [i] = b
+            low += [F.col(f"t_{q}") for q in p.events[i].parents if q in a.events and not self._loose(q, i)]
+            high += [F.col(f"s_{c}") for c in p.children(i) if c in a.events and not self._loose(i, c)]
+        low, high = _extreme(F.greatest, low), _extreme(F.least, high)
+        left = a.df.where(low <= high).withColumn("cell", F.explode(F.sequence(_cell(low, w), _cell(high, w))))
+        right = right.withColumnsRenamed({"start_ms": "r_start", "end_ms": "r_end", **{f"v_{v}": f"r_{v}" for v in new}}).withColumn("r_cell", _cell(F.col("r_start"), w))
+        keys = [F.col(f"v_{v}") == F.col(f"r_{v}") for v in sorted(bound & new)]
+        other = [F.col(f"v_{v}") != F.col(f"r_{x}") for v in sorted(bound - new) for x in sorted(new - bound)]
+        out = left.join(right, _all([*keys, F.col("cell") == F.col("r_cell"), *other, *more])).drop("cell", "r_cell", *[f"r_{v}" for v in bound & new])
+        return out.withColumnsRenamed({f"r_{v}": f"v_{v}" for v in new - bound})
+
+    def _spanned(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("start_ms", F.least("start_ms", "r_start")).withColumn("end_ms", F.greatest("end_ms", "r_end")).drop("r_start", "r_end")
+
+    def join(self, a: Part, b: Part) -> Part:
+        span = F.greatest("end_ms", "r_end") - F.least("start_ms", "r_start") <= self.window_ms
+        more = [*self._order(a.events, b.events), span, *self._unique(a.events, b.events)]
+        return Part(self._spanned(self._met(a, b.events, b.df, more)), (*a.events, *b.events))
+
+    def run_after(self, a: Part, narrow: DataFrame, i: int, used: list[int]) -> Part:
+        """a extended by event i, a frequency between the entities of events ``used``, which leave out the ids of these."""
+        e, w = self.p.events[i], self.window_ms
+        taken = sum(self.p.events[q].frequency for q in used)
+        near = frequency.near(self._fitting(cand.of_event(narrow, i), i, a), e.frequency, taken, w)
+        own = {e.subject: "src", e.object: "dst"}
+        right = near.select("start_ms", F.col("start_ms").alias("end_ms"), F.col("src").alias(f"src_{i}"), F.col("dst").alias(f"dst_{i}"), F.col("start_ms").alias(f"s_{i}"), "near", *[F.col(c).alias(f"v_{v}") for v, c in own.items()])
+        before = [F.col(f"t_{q}") <= F.col(f"s_{i}") for q in e.parents if q in a.events]
+        out = self._met(a, (i,), right, before)
+        out = out.withColumn(f"ids_{i}", frequency.ids_of(F.flatten(F.array(*[f"ids_{q}" for q in used])), e.frequency)).where(f"ids_{i} is not null")
+        out = out.withColumn(f"t_{i}", frequency.end_of(f"ids_{i}")).withColumn("r_end", F.col(f"t_{i}")).drop("near")
+        out = out.where(_all([F.greatest("end_ms", "r_end") - F.least("start_ms", "r_start") <= w, *self._order(a.events, (i,)), *self._unique(a.events, (i,))]))
+        return Part(self._spanned(out), (*a.events, i))
+
+    def chain(self, edges: DataFrame, narrow: DataFrame, events: list[int]) -> Part:
+        """Matches of a chain, event by event."""
+        out: Part | None = None
+        for i in events:
+            if out is None:
+                out = Part(self._plain(self.table(edges, narrow, i), i), (i,))
+                continue
+            if self.p.events[i].kind == "frequency" and len(out.events) > 1:
+                out = Part(scratch.save(out.df, "chain")[0], out.events)  # read twice
+            used = [q for q in out.events if self.p.events[q].kind != "flow" and planner.ends(self.p, q) == planner.ends(self.p, i)]
+            if self.p.events[i].kind == "frequency" and used:
+                out = self.run_after(out, narrow, i, used)
+            else:
+                out = self.join(out, Part(self._plain(self.table(edges, narrow, i, out), i), (i,)))
+        return out
+
+    def joined(self, parts: list[Part], left_deep: bool = False, counts: dict[int, int] | None = None, seen: list[Part] | None = None) -> Part:
+        """The matches of the pattern from those of its chains. seen: gets the result of every join."""
+        by = {p.events: p for p in parts}
+
+        def of(node: planner.Node) -> Part:
+            if node.left is None:
+                return by[node.events]
+            out = self.join(of(node.left), of(node.right))
+            if seen is not None:
+                seen.append(out)
+            return out
+
+        return of(planner.join_tree(self.p, left_deep, counts))
+
+
+def chain_matches(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all") -> tuple[list[DataFrame], dict[int, int] | None]:
+    """The matches of each chain of the pattern, as planner.decompose has them; and, where there are several orders of joining them, candidates by event."""
+    m = Matcher(p, window_ms, event_uniqueness, flow_order)
+    bare = [i for i, e in enumerate(m.p.events) if e.kind != "flow"]
+    narrow = cand.narrow(edges, m.p)
+    if len(bare) > 1:
+        narrow, _ = scratch.save(narrow, "candidates")
+    counts = None
+    if len(m.chains) > 2 and bare:
+        counts = dict(zip(bare, narrow.agg(*[F.count_if(cand.can_be(i)) for i in bare]).first(), strict=True))
+    return [m.chain(edges, narrow, c).df for c in m.chains], counts
+
+
+def join_chains(matches: list[DataFrame], p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all", left_deep: bool = False, counts: dict[int, int] | None = None, seen: list[Part] | None = None) -> DataFrame:
+    """The matches of the pattern from those of its chains, which may come from anywhere."""
+    m = Matcher(p, window_ms, event_uniqueness, flow_order)
+    return m.joined([Part(df, tuple(c)) for df, c in zip(matches, m.chains, strict=True)], left_deep, counts, seen).df
+
+
+def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, flow_order: str = "all", seen: list[Part] | None = None) -> DataFrame:
     """start_ms, end_ms, and for each event i: ids_i, src_i, dst_i, s_i, t_i; for each entity j: v_j.
 
     event_uniqueness: ``global``, no input event is used twice; ``chain``, not within a chain. flow_order: ``all``, what
-    comes before a flow ends before the flow departs; ``chain``, within a chain only before it arrives. tables: event
-    tables to be used instead of the edges', by index.
+    comes before a flow ends before the flow departs; ``chain``, within a chain only before it arrives. left_deep: see
+    planner.join_tree; seen: gets the result of every join of chains.
     """
-    if window_ms <= 0:
-        raise ValueError("the window must be positive")
-    if event_uniqueness not in ("global", "chain"):
-        raise ValueError(event_uniqueness)
-    if flow_order not in ("all", "chain"):
-        raise ValueError(flow_order)
-    p = p.optimize()
-    chain_of = {i: n for n, c in enumerate(decompose(p)) for i in c}
-    single = lambda i: p.events[i].kind == "default"
-    loose = lambda a, b: flow_order == "chain" and p.events[b].kind == "flow" and chain_of[a] == chain_of[b]
-    out: DataFrame | None = None
-    bound: list[int] = []
-    done: list[int] = []
-    for i in join_order(p, left_deep):
-        e = p.events[i]
-        t = tables[i] if tables and i in tables else event_table(edges, p, i, window_ms)
-        t = t.select(F.col("src").alias(f"src_{i}"), F.col("dst").alias(f"dst_{i}"), F.col("start_ms").alias(f"s_{i}"), F.col("end_ms").alias(f"t_{i}"), F.col("ids").alias(f"ids_{i}"))
-        ends = {e.subject: f"src_{i}", e.object: f"dst_{i}"}
-        if out is None:
-            out = t.withColumn("start_ms", F.col(f"s_{i}")).withColumn("end_ms", F.col(f"t_{i}"))
-        else:
-            keys = [F.col(f"v_{v}") == F.col(c) for v, c in ends.items() if v in bound]
-            other = [F.col(f"v_{w}") != F.col(c) for v, c in ends.items() if v not in bound for w in bound]
-            before = [q for q in e.parents if q in done and not loose(q, i)]
-            after = [c for c in p.children(i) if c in done and not loose(i, c)]
-            order = [F.col(f"t_{q}") <= F.col(f"s_{i}") for q in before] + [F.col(f"t_{i}") <= F.col(f"s_{c}") for c in after]
-            order += [F.col(f"t_{q}") <= F.col(f"t_{i}") for q in e.parents if q in done and loose(q, i)]
-            order += [F.col(f"t_{i}") <= F.col(f"t_{c}") for c in p.children(i) if c in done and loose(i, c)]
-            span = F.greatest("end_ms", f"t_{i}") - F.least("start_ms", f"s_{i}") <= window_ms
-            rivals = [q for q in done if e.kind != "flow" and p.events[q].kind != "flow" and (event_uniqueness == "global" or chain_of[q] == chain_of[i])]
-            unique = [F.col(f"ids_{q}")[0] != F.col(f"ids_{i}")[0] if single(q) and single(i) else ~F.arrays_overlap(f"ids_{q}", f"ids_{i}") for q in rivals]
-            low = _extreme(F.greatest, [F.col("end_ms") - window_ms, *(F.col(f"t_{q}") for q in before)])
-            high = _extreme(F.least, [F.col("start_ms") + window_ms, *(F.col(f"s_{c}") for c in after)])
-            out = out.where(low <= high).withColumn("cell", F.explode(F.sequence(_cell(low, window_ms), _cell(high, window_ms))))
-            t = t.withColumn("cell_of", _cell(F.col(f"s_{i}"), window_ms))
-            out = out.join(t, _all([*keys, F.col("cell") == F.col("cell_of"), *other, *order, span, *unique])).drop("cell", "cell_of")
-            out = out.withColumn("start_ms", F.least("start_ms", f"s_{i}")).withColumn("end_ms", F.greatest("end_ms", f"t_{i}"))
-        for v, c in ends.items():
-            if v not in bound:
-                out = out.withColumn(f"v_{v}", F.col(c))
-                bound.append(v)
-        done.append(i)
-    return out
+    m = Matcher(p, window_ms, event_uniqueness, flow_order)
+    planner.join_tree(m.p, left_deep)  # so that what can't be joined is told before anything runs
+    matches, counts = chain_matches(edges, p, window_ms, event_uniqueness, flow_order)
+    return join_chains(matches, p, window_ms, event_uniqueness, flow_order, left_deep, counts, seen)
