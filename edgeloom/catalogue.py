@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom import api, scratch
+from edgeloom import api, samples, scratch
+from edgeloom.functions.signatures import matches
+from edgeloom.functions.times import epoch_ms, timestamp_ms
 from edgeloom.operators import candidates, compose, flow, frequency, results
 from edgeloom.plans.pattern import Pattern
 from edgeloom.sources import edges as src
@@ -73,6 +75,25 @@ def pattern_sql(p: Pattern, window_ms: int, unique: bool = True, last: str = "SE
     return "WITH RECURSIVE " + ",\n".join([*ctes, found, pick]) + "\n" + last
 
 
+#: Signups as edges from a user to itself.
+LOOPS_SQL = EDGES_SQL.replace("edges AS", "plain AS") + """,
+edges AS (SELECT ts_ms, seq, event_id, event_sig, subject_id, subject_sig, CASE WHEN event_sig = 'signup' THEN subject_id ELSE object_id END AS object_id,
+  CASE WHEN event_sig = 'signup' THEN subject_sig ELSE object_sig END AS object_sig FROM plain)"""
+#: Every event as an interval of some days, so twice.
+SPANS_SQL = EDGES_SQL.replace("edges AS", "plain AS") + f""",
+edges AS (SELECT unnest(list_distinct([ts_ms, ts_ms + event_id % 3 * {2 * DAY}])) AS ts_ms, seq, event_id, event_sig, subject_id, subject_sig, object_id, object_sig FROM plain)"""
+
+
+def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.col("event_sig") == "signup"
+    return graph(spark, sf_dir).withColumns({"object_id": F.when(one, F.col("subject_id")).otherwise(F.col("object_id")), "object_sig": F.when(one, F.col("subject_sig")).otherwise(F.col("object_sig"))})
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph(spark, sf_dir).withColumnRenamed("ts_ms", "start_ms")
+    return src.with_duplicates(rows.withColumn("end_ms", F.col("start_ms") + F.col("event_id") % 3 * (2 * DAY))).select(*src.EDGE)
+
+
 USER, KEY = "User::.*", "Key::.*"
 
 
@@ -83,6 +104,9 @@ def _graph(entities: list[str], events: list[tuple[int, int, str]], *order: tupl
     return p
 
 
+#: Its first two chains share no entity, so that joining them as they come goes through all pairs within a window.
+FAR_APART = _graph([KEY, USER, KEY, USER], [(0, 1, "view"), (2, 3, "click"), (1, 2, "purchase")])
+
 #: Name to pattern, window and options of match().
 PATTERNS: dict[str, tuple[Pattern, int, dict]] = {
     "pat_two_step_shared_object": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), HOUR, {}),
@@ -90,25 +114,25 @@ PATTERNS: dict[str, tuple[Pattern, int, dict]] = {
     "pat_two_step_both_endpoints": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)), 7 * DAY, {}),
     "pat_path3": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (2, 3, "click")], (0, 1), (1, 2)), 6 * HOUR, {}),
     "pat_star3": (_graph([USER, KEY, KEY, KEY], [(1, 0, "click"), (2, 0, "view"), (0, 3, "error")], (0, 2), (1, 2)), 6 * HOUR, {}),
-    "pat_diamond": (_graph([USER, USER, KEY, KEY], [(2, 0, "view"), (0, 3, "purchase"), (2, 1, "click"), (1, 3, "error")], (0, 1), (2, 3)), 12 * HOUR, {}),
-    "pat_self_loop": (_graph([USER, KEY], [(0, 0, ".*"), (0, 1, "purchase")], (0, 1)), DAY, {}),
+    "pat_diamond": (_graph([USER, USER, KEY, KEY], [(2, 0, "view"), (0, 3, "purchase"), (2, 1, "click"), (1, 3, "error")], (0, 1), (2, 3)), 3 * DAY, {}),
     "pat_partial_order_unordered": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")]), HOUR, {}),
     "pat_partial_order_dag": (_graph([KEY, USER, KEY, KEY], [(0, 1, "view"), (1, 2, "purchase"), (1, 3, "signup")], (0, 1), (0, 2)), 4 * HOUR, {}),
     "pat_event_uniqueness_global": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {}),
     "pat_event_uniqueness_chain": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {"event_uniqueness": "chain"}),
     "pat_window_inclusive": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), 1_000_000, {}),
     "pat_entity_injective": (_graph([KEY, USER, KEY], [(0, 1, "click"), (2, 1, "click")], (0, 1)), 2 * HOUR, {}),
-    "pat_multi_chain_join": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), DAY, {}),
-    "pat_left_deep_ablation": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), DAY, {"left_deep": True}),
+    "pat_multi_chain_join": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), 3 * DAY, {}),
+    "pat_join_tree": (FAR_APART, 4 * HOUR, {}),
+    "pat_left_deep_ablation": (FAR_APART, 4 * HOUR, {"left_deep": True}),
     "freq_k2_root": (_graph([KEY, USER], [(0, 1, "click")]).frequency(0, 2), 7 * DAY, {}),
     "freq_k3_after_parent": (_graph([KEY, USER, KEY], [(0, 1, "view"), (2, 1, "click")], (0, 1)).frequency(1, 3), 14 * DAY, {}),
-    "freq_two_in_pattern": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)).frequency(0, 2).frequency(1, 2), 30 * DAY, {}),
+    "freq_two_in_pattern": (_graph([KEY, USER, KEY], [(0, 1, "view|click"), (1, 2, "purchase|error")], (0, 1)).frequency(0, 2).frequency(1, 2), 30 * DAY, {}),
     "freq_one_rewrite": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)).frequency(0, 1), 7 * DAY, {}),
     "flow_seed": (_graph([KEY, KEY], [(0, 1, "")]).flow(0), HOUR, {}),
     "flow_window": (_graph([KEY, USER], [(0, 1, "")]).flow(0), HOUR // 4, {}),
     "flow_after_parent": (_graph([USER, KEY, USER], [(0, 1, "purchase"), (1, 2, "")], (0, 1)).flow(1), HOUR, {}),
     "flow_then_event": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "click")], (0, 1)).flow(0), HOUR, {}),
-    "freq_and_flow_combined": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "view|click")], (0, 1)).flow(0).frequency(1, 2), 12 * HOUR, {}),
+    "freq_and_flow_combined": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "view|click")], (0, 1)).flow(0).frequency(1, 2), 30 * HOUR, {}),
 }
 TWO_STEP = PATTERNS["pat_two_step_both_endpoints"]
 
@@ -119,13 +143,13 @@ def _pattern(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/events.parquet").select(F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("start_ms"), "event_id", "value")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(epoch_ms("ts").alias("start_ms"), "event_id", "value")
     return src.with_duplicates(rows.select("start_ms", (F.col("start_ms") + F.floor("value").cast("bigint") % 3).alias("end_ms"), "event_id")).select("ts_ms", "event_id")
 
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.col("event_id").cast("string"), F.element_at(F.array(*map(F.lit, ("", ".", ".1", ".12", ".1234", "x"))), (F.col("event_id") % 6 + 1).cast("int")))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.alias("text")).select("event_id", src.timestamp_ms(F.col("text")).alias("ms"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.alias("text")).select("event_id", timestamp_ms(F.col("text")).alias("ms"))
 
 
 def _flow_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +196,16 @@ def _shipped(spark: SparkSession, d: str) -> DataFrame:
     return api.match(src.from_lineitem(spark.read.parquet(f"{d}/lineitem.parquet")), *SHIPPED)
 
 
+LOOP = (_graph([USER, KEY], [(0, 0, "signup"), (0, 1, "purchase")], (0, 1)), DAY)
+#: The run is between the entities of the event before it, whose id it leaves out.
+SKIPS = (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click|error")], (0, 1)).frequency(1, 2), 20 * DAY)
+SKIPS_SQL = f"""WITH {SPANS_SQL},
+e0 AS (SELECT subject_id AS src, object_id AS dst, ts_ms AS t, event_id AS id FROM edges WHERE event_sig = 'view'),
+later AS (SELECT subject_id AS src, object_id AS dst, ts_ms AS s, event_id AS first, list({{'t': ts_ms, 'id': event_id}}) OVER (PARTITION BY subject_id, object_id ORDER BY ts_ms, seq, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM edges WHERE event_sig IN ('view', 'click')),
+free AS (SELECT e0.id, e0.t, l.s, l.first, list_filter(rest, lambda x: x.id <> e0.id AND x.id <> l.first)[1] AS second FROM e0 JOIN later l ON e0.src = l.src AND e0.dst = l.dst AND l.s >= e0.t AND l.first <> e0.id)
+SELECT start_ms, end_ms, events FROM (SELECT *, row_number() OVER (PARTITION BY events ORDER BY end_ms, start_ms) AS r FROM (
+  SELECT t AS start_ms, second.t AS end_ms, '[' || id || ', (' || first || ', ' || second.id || ')]' AS events FROM free WHERE second IS NOT NULL AND second.t - t <= {20 * DAY})) WHERE r = 1"""
 STREAMED = {"stream_default_pattern": "pat_two_step_shared_object", "stream_flow_freq": "freq_and_flow_combined"}
 SHIPPED = (Pattern.from_graph(["Supplier", "Part", "Order"], [(0, 1, "supply"), (2, 1, "ship_R")], use_regex=False).before(0, 1).frequency(0, 2), 30 * DAY)
 LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms FROM lineitem),
@@ -181,6 +215,13 @@ edges AS (SELECT ts_ms, id AS seq, id AS event_id, event_sig, subject_id, subjec
   UNION ALL SELECT *, ('0x' || left(md5('supply|' || line), 15))::BIGINT, 'supply', l_suppkey + 4000000000, 'Supplier' FROM numbered))"""
 
 
+def _isolated(spark: SparkSession, d: str) -> DataFrame:
+    """The join of chains alone, over matches of the chains that were written before."""
+    p, window, _ = PATTERNS["pat_multi_chain_join"]
+    parts = [scratch.save(df, "part")[0] for df in compose.chain_matches(graph(spark, d), p, window)[0]]
+    return results.flat(compose.join_chains(parts, p, window), p)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     p, window, _ = TWO_STEP
     two = lambda s, d: compose.match(graph(s, d), p, window)
@@ -191,10 +232,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edges_from_lineitem": lambda s, d: src.from_lineitem(s.read.parquet(f"{d}/lineitem.parquet")),
         "lineitem_freq_then_ship": _shipped,
         "stream_joined_path3": _stream_joined,
+        "pat_self_loop": lambda s, d: api.match(loops(s, d), *LOOP),
+        "freq_skips_used_ids": lambda s, d: api.match(spans(s, d), *SKIPS),
+        "isolated_join": _isolated,
         "edges_interval_dup": _intervals,
         "timestamp_to_ms": _times,
-        "sig_regex_filter": lambda s, d: graph(s, d).where(candidates.matches(F.col("event_sig"), "(?:pur|sig).*", True)),
-        "sig_literal_filter": lambda s, d: graph(s, d).where(candidates.matches(F.col("event_sig"), "purchase", False)),
+        "sig_regex_filter": lambda s, d: graph(s, d).where(matches(F.col("event_sig"), "(?:pur|sig).*", True)),
+        "sig_literal_filter": lambda s, d: graph(s, d).where(matches(F.col("event_sig"), "purchase", False)),
         "candidate_mask": lambda s, d: candidates.candidate_mask(graph(s, d), mask).select("event_id", F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask")),
         "node_signature_match": lambda s, d: candidates.node_matches(graph(s, d), Pattern.from_graph(["User::1.*", KEY], [(0, 1, "x")]), 0),
         "flow_pairs": _flow_pairs,
@@ -204,7 +248,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_count_by_pattern": _counts,
         "render_match": lambda s, d: api.match(graph(s, d), p, window, "text"),
         "match_nested": lambda s, d: api.match(graph(s, d), p, window, "nested").select("match_id", "start_ms", "end_ms", F.col("events")[0]["event_ids"][0].alias("first_event"), F.col("entities")[1]["entity_id"].alias("user")),
-    } | {name: _pattern(name) for name in PATTERNS} | {name: _streamed(of) for name, of in STREAMED.items()}
+    } | {name: _pattern(name) for name in PATTERNS} | {name: _streamed(of) for name, of in STREAMED.items()} | samples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -219,6 +263,9 @@ def oracle_sql() -> dict[str, str]:
         "edges_from_lineitem": f"WITH {LINES_SQL} SELECT * FROM edges",
         "lineitem_freq_then_ship": pattern_sql(*SHIPPED, view=LINES_SQL),
         "stream_joined_path3": pattern_sql(*PATTERNS["pat_path3"][:2]),
+        "pat_self_loop": pattern_sql(*LOOP, view=LOOPS_SQL),
+        "freq_skips_used_ids": SKIPS_SQL,
+        "isolated_join": pattern_sql(*PATTERNS["pat_multi_chain_join"][:2]),
         "edges_interval_dup": "SELECT unnest(list_distinct([s, s + floor(value)::BIGINT % 3])) AS ts_ms, event_id FROM (SELECT epoch_us(ts) // 1000 AS s, event_id, value FROM events)",
         "timestamp_to_ms": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id * 1000 WHEN 1 THEN event_id * 1000 WHEN 2 THEN event_id * 1000 + 100 WHEN 3 THEN event_id * 1000 + 120 WHEN 4 THEN event_id * 1000 + 123 END AS ms FROM events",
         "sig_regex_filter": view + "SELECT * FROM edges WHERE regexp_full_match(event_sig, '(pur|sig).*')",
@@ -232,4 +279,4 @@ def oracle_sql() -> dict[str, str]:
         "match_count_by_pattern": " UNION ALL ".join(f"({count(n)})" for n in ("pat_two_step_shared_object", "pat_two_step_both_endpoints", "pat_path3")),
         "render_match": pattern_sql(p, window, last=f"SELECT '<' || {sec('start_ms')} || ', ' || {sec('end_ms')} || '>' || events AS line FROM firsts"),
         "match_nested": pattern_sql(p, window, last="SELECT sha256(events) AS match_id, start_ms, end_ms, regexp_extract(events, '[0-9]+')::BIGINT AS first_event, user_id AS \"user\" FROM firsts JOIN (SELECT event_id, user_id FROM events) ON event_id = regexp_extract(events, '[0-9]+')::BIGINT"),
-    } | {name: pattern_sql(q, w, unique=how.get("event_uniqueness") != "chain") for name, (q, w, how) in PATTERNS.items()} | {name: pattern_sql(*PATTERNS[of][:2]) for name, of in STREAMED.items()}
+    } | {name: pattern_sql(q, w, unique=how.get("event_uniqueness") != "chain") for name, (q, w, how) in PATTERNS.items()} | {name: pattern_sql(*PATTERNS[of][:2]) for name, of in STREAMED.items()} | samples.oracle_sql()
