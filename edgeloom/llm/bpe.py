@@ -4,7 +4,8 @@ A word (a piece that the pre-tokenizer's pattern cuts) of up to ``SHORT`` bytes
 boundaries of its parts, and for each inner boundary the rank of the merge that would delete it. The least rank is
 found by scanning, its boundary is deleted, and the ranks of the two neighbouring boundaries are looked up again.
 Longer words would cost time in the square of their length that way; they go through a heap of (rank, place) with
-linked parts, which merges in the same order. A worker remembers the ids of the words it has seen, up to ``WORDS``.
+linked parts, which merges in the same order. A task remembers the ids of the words it has seen, two generations of
+``WORDS`` at most, and forgets them and the file's tables when its partition ends.
 
 Results equal the tokenizers library's for byte-level BPE files with its GPT-2 pattern: strings of special tokens in
 a text are those tokens (as there, without encode_special_tokens), no others are added, nothing is cut or padded.
@@ -22,12 +23,14 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from edgeloom.llm.rows import of_texts
+
 SHORT = 128
-WORDS = 400_000
+WORDS = 120_000
 NEVER = 1 << 60
 
 #: The pre-tokenizer's pattern. The second form has the letters, numbers and white space of Latin-1 spelt out, and runs in the faster module.
@@ -60,6 +63,7 @@ class Bpe(dict):
                 raise ValueError("two merges make the same token")
             self.rank[a + b] = r
             self.left.append(len(a))
+        self.before: dict[str, tuple[int, ...]] = {}
         self.find = re.compile(LATIN).findall
         self.find_any = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -103,16 +107,19 @@ class Bpe(dict):
         return [i for i in range(n + 1) if not gone[i]]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        w = word.encode()
-        if w in self.id_of and len(w) == 1:
-            ids = (self.id_of[w],)
-        else:
-            at = self._short(w) if len(w) <= SHORT else self._long(w)
-            ids = tuple(self.id_of[w[a:b]] for a, b in zip(at, at[1:]))
-        if len(w) <= SHORT:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
+        if (ids := self.before.get(word)) is None:
+            w = word.encode()
+            if w in self.id_of and len(w) == 1:
+                ids = (self.id_of[w],)
+            else:
+                at = self._short(w) if len(w) <= SHORT else self._long(w)
+                ids = tuple(self.id_of[w[a:b]] for a, b in zip(at, at[1:]))
+            if len(w) > SHORT:
+                return ids
+        if len(self) >= WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
@@ -144,16 +151,6 @@ class Bpe(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
-def loaded(file: str) -> Bpe:
-    """The worker's own copy, read once."""
-    if file not in _LOADED:
-        _LOADED[file] = Bpe(file)
-    return _LOADED[file]
-
-
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -161,17 +158,21 @@ def _sha(text: str) -> str:
 def encode_documents(docs: DataFrame, file: str, tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs(doc_id, text); and with tokens, ids as an array of int."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(file)
-        for b in batches:
-            for at in range(0, len(b), 512):  # the ids of a whole batch would be large
-                part = b.iloc[at : at + 512]
-                rows = []
-                for text in part["text"]:
-                    ids = bpe.encode(text)
-                    rows.append((len(ids), _sha(",".join(map(bpe.text_of.__getitem__, ids))), _sha(bpe.decode(ids)), *([np.array(ids, np.int32)] if tokens else [])))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if tokens else [])])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * tokens)
+    def start():
+        bpe = Bpe(file)
+
+        def run(texts: list) -> list:
+            n, shas, decoded, kept = [], [], [], []
+            for text in texts:
+                ids = bpe.encode(text)
+                n.append(len(ids))
+                shas.append(_sha(",".join(map(bpe.text_of.__getitem__, ids))))
+                decoded.append(_sha(bpe.decode(ids)))
+                if tokens:
+                    kept.append(np.array(ids, np.int32))
+            return [n, shas, decoded, *([kept] if tokens else [])]
+
+        return run
+
+    fields = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return of_texts(docs, fields | ({"ids": pa.list_(pa.int32())} if tokens else {}), start, 64)
