@@ -112,27 +112,27 @@ PATTERNS: dict[str, tuple[Pattern, int, dict]] = {
     "pat_two_step_shared_object": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), HOUR, {}),
     "pat_two_step_shared_subject": (_graph([USER, KEY, KEY], [(0, 1, "purchase"), (0, 2, "signup")], (0, 1)), 2 * HOUR, {}),
     "pat_two_step_both_endpoints": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)), 7 * DAY, {}),
-    "pat_path3": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (2, 3, "click")], (0, 1), (1, 2)), 6 * HOUR, {}),
+    "pat_path3": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (2, 3, "click")], (0, 1), (1, 2)), 8 * HOUR, {}),
     "pat_star3": (_graph([USER, KEY, KEY, KEY], [(1, 0, "click"), (2, 0, "view"), (0, 3, "error")], (0, 2), (1, 2)), 6 * HOUR, {}),
     "pat_diamond": (_graph([USER, USER, KEY, KEY], [(2, 0, "view"), (0, 3, "purchase"), (2, 1, "click"), (1, 3, "error")], (0, 1), (2, 3)), 3 * DAY, {}),
     "pat_partial_order_unordered": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")]), HOUR, {}),
-    "pat_partial_order_dag": (_graph([KEY, USER, KEY, KEY], [(0, 1, "view"), (1, 2, "purchase"), (1, 3, "signup")], (0, 1), (0, 2)), 4 * HOUR, {}),
+    "pat_partial_order_dag": (_graph([KEY, USER, KEY, KEY], [(0, 1, "view"), (1, 2, "purchase"), (1, 3, "signup")], (0, 1), (0, 2)), 8 * HOUR, {}),
     "pat_event_uniqueness_global": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {}),
     "pat_event_uniqueness_chain": (_graph([KEY, USER], [(0, 1, "view"), (0, 1, "view|click")]), 3 * DAY, {"event_uniqueness": "chain"}),
-    "pat_window_inclusive": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), 1_000_000, {}),
+    "pat_window_inclusive": (_graph([KEY, USER, KEY], [(0, 1, "view"), (1, 2, "purchase")], (0, 1)), 3_000_000, {}),
     "pat_entity_injective": (_graph([KEY, USER, KEY], [(0, 1, "click"), (2, 1, "click")], (0, 1)), 2 * HOUR, {}),
     "pat_multi_chain_join": (_graph([KEY, USER, KEY, USER], [(0, 1, "view"), (1, 2, "purchase"), (0, 3, "click"), (3, 2, "signup")], (0, 1), (2, 3)), 3 * DAY, {}),
     "pat_join_tree": (FAR_APART, 4 * HOUR, {}),
     "pat_left_deep_ablation": (FAR_APART, 4 * HOUR, {"left_deep": True}),
     "freq_k2_root": (_graph([KEY, USER], [(0, 1, "click")]).frequency(0, 2), 7 * DAY, {}),
-    "freq_k3_after_parent": (_graph([KEY, USER, KEY], [(0, 1, "view"), (2, 1, "click")], (0, 1)).frequency(1, 3), 14 * DAY, {}),
+    "freq_k3_after_parent": (_graph([KEY, USER, KEY], [(0, 1, "view"), (2, 1, "click")], (0, 1)).frequency(1, 3), 30 * DAY, {}),
     "freq_two_in_pattern": (_graph([KEY, USER, KEY], [(0, 1, "view|click"), (1, 2, "purchase|error")], (0, 1)).frequency(0, 2).frequency(1, 2), 30 * DAY, {}),
     "freq_one_rewrite": (_graph([KEY, USER], [(0, 1, "view"), (1, 0, "purchase")], (0, 1)).frequency(0, 1), 7 * DAY, {}),
     "flow_seed": (_graph([KEY, KEY], [(0, 1, "")]).flow(0), HOUR, {}),
     "flow_window": (_graph([KEY, USER], [(0, 1, "")]).flow(0), HOUR // 4, {}),
     "flow_after_parent": (_graph([USER, KEY, USER], [(0, 1, "purchase"), (1, 2, "")], (0, 1)).flow(1), HOUR, {}),
-    "flow_then_event": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "click")], (0, 1)).flow(0), HOUR, {}),
-    "freq_and_flow_combined": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "view|click")], (0, 1)).flow(0).frequency(1, 2), 30 * HOUR, {}),
+    "flow_then_event": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "click")], (0, 1)).flow(0), 3 * HOUR, {}),
+    "freq_and_flow_combined": (_graph([KEY, KEY, USER], [(0, 1, ""), (1, 2, "view|click")], (0, 1)).flow(0).frequency(1, 2), 40 * HOUR, {}),
 }
 TWO_STEP = PATTERNS["pat_two_step_both_endpoints"]
 

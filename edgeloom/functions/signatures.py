@@ -87,11 +87,21 @@ def is_plain(signature: str) -> bool:
 
 
 def matches(column: Column, signature: str, use_regex: bool) -> Column:
-    """Whole text by the signature. A signature without special characters is compared, which Parquet can be asked for; one that starts so gets that as well."""
+    """Whole text by the signature.
+
+    What needs no regular expression gets none: plain text, alternatives of it, and plain text with any rest, a dot
+    being anything but a line end. Plain starts are asked for besides, as Parquet can be asked for them.
+    """
     if not use_regex or is_plain(signature):
         return column == signature
+    if all(map(is_plain, some := signature.split("|"))):
+        return column.isin(*some)
     plain = _PLAIN.match(signature)[0]
-    if re.match(r"[*?{]", signature[len(plain) :]):
+    rest = signature[len(plain) :]
+    if rest == ".*":
+        one_line = ~column.contains("\n")
+        return column.startswith(plain) & one_line if plain else one_line
+    if re.match(r"[*?{]", rest):
         plain = plain[:-1]
     full = column.rlike(rf"(?d)(?U)\A(?:{signature})\z")
     return column.startswith(plain) & full if plain and "|" not in signature else full

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom import scratch
 from edgeloom.functions.signatures import is_plain, matches
 from edgeloom.plans.pattern import Pattern
 
@@ -57,10 +58,24 @@ def candidate_mask(edges: DataFrame, p: Pattern) -> DataFrame:
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    """(entity_id, sig), once for each pair."""
-    return edges.select(F.col("subject_id").alias("entity_id"), F.col("subject_sig").alias("sig")).unionByName(edges.select(F.col("object_id").alias("entity_id"), F.col("object_sig").alias("sig"))).distinct()
+    """(entity_id, sig), once for each pair, of one pass."""
+    end = lambda k: F.struct(F.col(f"{k}_id").alias("entity_id"), F.col(f"{k}_sig").alias("sig"))
+    return edges.select(F.explode(F.array(end("subject"), end("object"))).alias("n")).select("n.*").distinct()
 
 
 def node_matches(edges: DataFrame, p: Pattern, entity: int) -> DataFrame:
     """entity_id of the nodes that have a signature of this entity on some row."""
     return nodes(edges).where(matches(F.col("sig"), p.entities[entity], p.use_regex)).select("entity_id").distinct()
+
+
+def flow_ends(edges: DataFrame, p: Pattern, i: int, first_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The nodes that flow i can start from, and those it can go to, of one pass. first_only: only the signature counts that a node is first seen with."""
+    e = p.events[i]
+    if first_only:
+        end = lambda k: F.struct(F.col(f"{k}_id").alias("entity_id"), F.struct("ts_ms", "seq", F.lit(k == "object").alias("side"), F.col(f"{k}_sig").alias("sig")).alias("seen"))
+        named = edges.select(F.explode(F.array(end("subject"), end("object"))).alias("n")).groupBy("n.entity_id").agg(F.min("n.seen").alias("seen")).select("entity_id", "seen.sig")
+    else:
+        named = nodes(edges)
+    found = named.groupBy("entity_id").agg(*[F.max(matches(F.col("sig"), p.entities[v], p.use_regex)).alias(n) for n, v in (("leaves", e.subject), ("arrives", e.object))])
+    found, _ = scratch.save(found.where("leaves or arrives"), "nodes")
+    return found.where("leaves").select("entity_id"), found.where("arrives").select("entity_id")

@@ -45,16 +45,27 @@ def _cell(ms: Column, window_ms: int) -> Column:
     return F.floor(ms / window_ms)
 
 
+def _columns(events: tuple[int, ...]) -> list[str]:
+    return [f"{c}_{i}" for i in events for c in ("src", "dst", "s", "t", "ids")]
+
+
+def _span(start: str, end: str) -> list[Column]:
+    return [F.least("start_ms", start).alias("start_ms"), F.greatest("end_ms", end).alias("end_ms")]
+
+
 class Matcher:
     """The joins of one pattern under one window and set of options."""
 
-    def __init__(self, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all"):
+    def __init__(self, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all", flow_nodes: str = "any"):
         if window_ms <= 0:
             raise ValueError("the window must be positive")
         if event_uniqueness not in ("global", "chain"):
             raise ValueError(event_uniqueness)
         if flow_order not in ("all", "chain"):
             raise ValueError(flow_order)
+        if flow_nodes not in ("any", "first"):
+            raise ValueError(flow_nodes)
+        self.first_only = flow_nodes == "first"
         self.p, self.window_ms = p.optimize(), window_ms
         self.chains = planner.decompose(self.p)
         self.chain_of = {i: n for n, c in enumerate(self.chains) for i in c}
@@ -71,8 +82,7 @@ class Matcher:
         """src, dst, start_ms, end_ms, ids of what event i can be bound to; a flow has no ids. after: partial matches that it must fit."""
         e = self.p.events[i]
         if e.kind == "flow":
-            ends = [cand.node_matches(edges, self.p, v) for v in (e.subject, e.object)]
-            found = flow.reach(edges, self.window_ms, *ends)
+            found = flow.reach(edges, self.window_ms, *cand.flow_ends(edges, self.p, i, self.first_only))
             return found.select("src", "dst", F.col("depart").alias("start_ms"), F.col("arrive").alias("end_ms"), F.array().cast("array<bigint>").alias("ids"))
         rows = cand.of_event(narrow, i)
         if e.kind == "frequency":
@@ -106,8 +116,8 @@ class Matcher:
                     out.append(F.col(f"ids_{q}")[0] != F.col(f"ids_{i}")[0] if one else ~F.arrays_overlap(f"ids_{q}", f"ids_{i}"))
         return out
 
-    def _met(self, a: Part, b: tuple[int, ...], right: DataFrame, more: list[Column]) -> DataFrame:
-        """a's rows with those of right, partial matches of events b, that share entities and lie near in time."""
+    def _met(self, a: Part, b: tuple[int, ...], right: DataFrame, own: list[str], more: list[Column]) -> tuple[DataFrame, list[Column]]:
+        """a's rows with those of right that share entities and lie near in time; right has partial matches of events b, in the columns ``own`` besides times and entities. Then the columns of the outcome but for its times."""
         p, w = self.p, self.window_ms
         bound, new = planner.entities(p, a.events), planner.entities(p, b)
         low, high = [F.col("end_ms") - w], [F.col("start_ms") + w]
@@ -116,34 +126,35 @@ class Matcher:
             low += [F.col(f"t_{q}") for q in p.events[i].parents if q in a.events and not self._loose(q, i)]
             high += [F.col(f"s_{c}") for c in p.children(i) if c in a.events and not self._loose(i, c)]
         low, high = _extreme(F.greatest, low), _extreme(F.least, high)
-        left = a.df.where(low <= high).withColumn("cell", F.explode(F.sequence(_cell(low, w), _cell(high, w))))
-        right = right.withColumnsRenamed({"start_ms": "r_start", "end_ms": "r_end", **{f"v_{v}": f"r_{v}" for v in new}}).withColumn("r_cell", _cell(F.col("r_start"), w))
+        left = a.df.where(low <= high).select("*", F.explode(F.sequence(_cell(low, w), _cell(high, w))).alias("cell"))
+        right = right.select(F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), *own, *[F.col(f"v_{v}").alias(f"r_{v}") for v in sorted(new)], _cell(F.col("start_ms"), w).alias("r_cell"))
         keys = [F.col(f"v_{v}") == F.col(f"r_{v}") for v in sorted(bound & new)]
         other = [F.col(f"v_{v}") != F.col(f"r_{x}") for v in sorted(bound - new) for x in sorted(new - bound)]
-        out = left.join(right, _all([*keys, F.col("cell") == F.col("r_cell"), *other, *more])).drop("cell", "r_cell", *[f"r_{v}" for v in bound & new])
-        return out.withColumnsRenamed({f"r_{v}": f"v_{v}" for v in new - bound})
-
-    def _spanned(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("start_ms", F.least("start_ms", "r_start")).withColumn("end_ms", F.greatest("end_ms", "r_end")).drop("r_start", "r_end")
+        out = left.join(right, _all([*keys, F.col("cell") == F.col("r_cell"), *other, *more]))
+        columns = [F.col(c) for c in (*_columns(a.events), *own, *(f"v_{v}" for v in sorted(bound)))]
+        return out, [*columns, *[F.col(f"r_{v}").alias(f"v_{v}") for v in sorted(new - bound)]]
 
     def join(self, a: Part, b: Part) -> Part:
         span = F.greatest("end_ms", "r_end") - F.least("start_ms", "r_start") <= self.window_ms
         more = [*self._order(a.events, b.events), span, *self._unique(a.events, b.events)]
-        return Part(self._spanned(self._met(a, b.events, b.df, more)), (*a.events, *b.events))
+        out, columns = self._met(a, b.events, b.df, _columns(b.events), more)
+        return Part(out.select(*_span("r_start", "r_end"), *columns), (*a.events, *b.events))
 
     def run_after(self, a: Part, narrow: DataFrame, i: int, used: list[int]) -> Part:
         """a extended by event i, a frequency between the entities of events ``used``, which leave out the ids of these."""
         e, w = self.p.events[i], self.window_ms
         taken = sum(self.p.events[q].frequency for q in used)
         near = frequency.near(self._fitting(cand.of_event(narrow, i), i, a), e.frequency, taken, w)
-        own = {e.subject: "src", e.object: "dst"}
-        right = near.select("start_ms", F.col("start_ms").alias("end_ms"), F.col("src").alias(f"src_{i}"), F.col("dst").alias(f"dst_{i}"), F.col("start_ms").alias(f"s_{i}"), "near", *[F.col(c).alias(f"v_{v}") for v, c in own.items()])
+        ends = {e.subject: "src", e.object: "dst"}
+        right = near.select("start_ms", F.col("start_ms").alias("end_ms"), F.col("src").alias(f"src_{i}"), F.col("dst").alias(f"dst_{i}"), F.col("start_ms").alias(f"s_{i}"), "near", *[F.col(c).alias(f"v_{v}") for v, c in ends.items()])
         before = [F.col(f"t_{q}") <= F.col(f"s_{i}") for q in e.parents if q in a.events]
-        out = self._met(a, (i,), right, before)
+        out, columns = self._met(a, (i,), right, [f"src_{i}", f"dst_{i}", f"s_{i}", "near"], before)
+        out = out.select("start_ms", "end_ms", "r_start", *columns)
         out = out.withColumn(f"ids_{i}", frequency.ids_of(F.flatten(F.array(*[f"ids_{q}" for q in used])), e.frequency)).where(f"ids_{i} is not null")
-        out = out.withColumn(f"t_{i}", frequency.end_of(f"ids_{i}")).withColumn("r_end", F.col(f"t_{i}")).drop("near")
-        out = out.where(_all([F.greatest("end_ms", "r_end") - F.least("start_ms", "r_start") <= w, *self._order(a.events, (i,)), *self._unique(a.events, (i,))]))
-        return Part(self._spanned(out), (*a.events, i))
+        out = out.withColumn(f"t_{i}", frequency.end_of(f"ids_{i}"))
+        out = out.where(_all([F.greatest("end_ms", f"t_{i}") - F.least("start_ms", "r_start") <= w, *self._order(a.events, (i,)), *self._unique(a.events, (i,))]))
+        events = (*a.events, i)
+        return Part(out.select(*_span("r_start", f"t_{i}"), *_columns(events), *[f"v_{v}" for v in sorted(planner.entities(self.p, events))]), events)
 
     def chain(self, edges: DataFrame, narrow: DataFrame, events: list[int]) -> Part:
         """Matches of a chain, event by event."""
@@ -176,9 +187,9 @@ class Matcher:
         return of(planner.join_tree(self.p, left_deep, counts))
 
 
-def chain_matches(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all") -> tuple[list[DataFrame], dict[int, int] | None]:
+def chain_matches(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", flow_order: str = "all", flow_nodes: str = "any") -> tuple[list[DataFrame], dict[int, int] | None]:
     """The matches of each chain of the pattern, as planner.decompose has them; and, where there are several orders of joining them, candidates by event."""
-    m = Matcher(p, window_ms, event_uniqueness, flow_order)
+    m = Matcher(p, window_ms, event_uniqueness, flow_order, flow_nodes)
     bare = [i for i, e in enumerate(m.p.events) if e.kind != "flow"]
     narrow = cand.narrow(edges, m.p)
     if len(bare) > 1:
@@ -195,14 +206,15 @@ def join_chains(matches: list[DataFrame], p: Pattern, window_ms: int, event_uniq
     return m.joined([Part(df, tuple(c)) for df, c in zip(matches, m.chains, strict=True)], left_deep, counts, seen).df
 
 
-def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, flow_order: str = "all", seen: list[Part] | None = None) -> DataFrame:
+def match(edges: DataFrame, p: Pattern, window_ms: int, event_uniqueness: str = "global", left_deep: bool = False, flow_order: str = "all", flow_nodes: str = "any", seen: list[Part] | None = None) -> DataFrame:
     """start_ms, end_ms, and for each event i: ids_i, src_i, dst_i, s_i, t_i; for each entity j: v_j.
 
     event_uniqueness: ``global``, no input event is used twice; ``chain``, not within a chain. flow_order: ``all``, what
-    comes before a flow ends before the flow departs; ``chain``, within a chain only before it arrives. left_deep: see
+    comes before a flow ends before the flow departs; ``chain``, within a chain only before it arrives. flow_nodes: ``any``,
+    a node at a flow's end counts by every signature it has on some edge; ``first``, by that of its first edge. left_deep: see
     planner.join_tree; seen: gets the result of every join of chains.
     """
-    m = Matcher(p, window_ms, event_uniqueness, flow_order)
+    m = Matcher(p, window_ms, event_uniqueness, flow_order, flow_nodes)
     planner.join_tree(m.p, left_deep)  # so that what can't be joined is told before anything runs
-    matches, counts = chain_matches(edges, p, window_ms, event_uniqueness, flow_order)
+    matches, counts = chain_matches(edges, p, window_ms, event_uniqueness, flow_order, flow_nodes)
     return join_chains(matches, p, window_ms, event_uniqueness, flow_order, left_deep, counts, seen)

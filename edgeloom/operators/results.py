@@ -9,7 +9,9 @@ from edgeloom.plans.pattern import Pattern
 
 
 def _event_text(p: Pattern, i: int) -> Column:
-    ids = F.transform(f"ids_{i}", lambda x: x.cast("string"))
+    if p.events[i].kind == "default":
+        return F.col(f"ids_{i}")[0].cast("string")
+    ids = F.col(f"ids_{i}").cast("array<string>")
     if p.events[i].kind == "flow":
         return F.concat(F.lit("("), F.col(f"src_{i}").cast("string"), F.lit(" -> "), F.col(f"dst_{i}").cast("string"), F.lit(")"))
     if p.events[i].kind == "frequency" and p.events[i].frequency > 1:
@@ -29,10 +31,10 @@ def distinct(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFram
     """
     if dedup_key not in ("all", "ids"):
         raise ValueError(dedup_key)
-    keyed = matches.withColumn("events", events_text(p))
+    keyed = matches.select("*", events_text(p).alias("events"))
     key = ["events"] if dedup_key == "all" else [f"ids_{i}" for i in range(len(p.events))]
     first = Window.partitionBy(*key).orderBy("end_ms", "start_ms", *[f"s_{i}" for i in range(len(p.events))])
-    return keyed.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    return keyed.select("*", F.row_number().over(first).alias("__r")).where("__r = 1").drop("__r")
 
 
 def flat(matches: DataFrame, p: Pattern, dedup_key: str = "all") -> DataFrame:

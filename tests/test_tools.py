@@ -92,3 +92,14 @@ def test_hot_entity_over_time(spark):
     for q, ordered in ((p, False), (p.before(0, 1), True), (p.before(1, 0), None)):
         want = {f"[{x[2]}, {y[2]}]" for x in rows for y in rows if x[3] == "x" and y[3] == "y" and x[6] != y[6] and abs(x[0] - y[0]) <= 7 and (ordered is False or (x[0] <= y[0]) == bool(ordered))}
         assert {r.events for r in api.match(g, q, 7).collect()} == want
+
+
+def test_signatures_without_regular_expressions(spark):
+    """What is compared in other ways matches what the expression would."""
+    import re
+
+    texts = ["", "a", "ab", "a\n", "a\nb", "b", "view", "view\n", "viewer", "a.b", "a.*", "a|b", "|", "a\r", "xa"]
+    some = ["a", "a.*", ".*", "a|b", "view|a", "|a", "a.*|b", "vie?w.*", "a.b", "v.*r", "ab*", "a{0,1}", "a\\.b", "(a|b).*", "a\r.*"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *[signatures.matches(df["t"], s, True).alias(f"c{k}") for k, s in enumerate(some)]).collect()
+    assert {(r.t, s): r[k + 1] for r in got for k, s in enumerate(some)} == {(t, s): re.fullmatch(s, t) is not None for t in texts for s in some}
