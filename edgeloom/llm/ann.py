@@ -7,10 +7,12 @@ values over the stored length scores a row. Over all that a query has looked at,
 taken to the original vectors and scored as ``list_cosine_similarity`` of DuckDB does, in double precision.
 
 A query doesn't look at all codes: vectors are dealt into lists by the nearest of about as many centres as the square
-root of their number (``LISTS`` at most), and a query looks through the ``PROBES`` nearest lists, and on until these hold
-``LOOKED`` vectors. Lists are cut into parts of about ``PART`` vectors, and what asks a part into groups of about ``ASKING``
-queries; a task compares one such part and group at a time, so its memory is bounded whatever the size of a list. None
-of these numbers depends on how many tasks there are, so neither do results.
+root of their number (``LISTS`` at most), and a query looks through its nearest lists: as many as hold the neighbours of
+``SURE`` of the sample's vectors within the sample, and on until these lists have ``LOOKED`` vectors. Vectors that gather
+about centres need few lists; vectors without any order, most. Lists are packed into shards of about ``PART`` vectors,
+or cut into several, and what asks a shard into groups of about ``ASKING`` queries; a task compares one such shard and
+group at a time, so its memory is bounded whatever the size of a list. The best of the shards are merged in two steps.
+None of these numbers depends on how many tasks there are, so neither do results.
 
 Equal vectors are one row of the index with its ``k`` + 1 smallest ids (more can't be among the nearest of any query
 after itself), so thousands of copies cost no more than one, for queries as well.
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from edgeloom import scratch
 from edgeloom.llm.rows import bound_batches, mapped
 
-BOOKS, WORDS, BEAM = 8, 256, 4
-SAMPLE, ROUNDS = 16_384, 6
-LISTS, PROBES, LOOKED = 2048, 24, 1024
-RERANK = 128
-PART, ASKING = 4096, 512
+BOOKS, WORDS, BEAM = 24, 256, 3
+SAMPLE, ROUNDS = 8192, 4
+LISTS, LOOKED, SURE = 2048, 1024, 0.985
+RERANK = 192
+PART, ASKING, MERGED = 4096, 512, 32
 
 
 def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -102,6 +104,16 @@ def centres(x: np.ndarray, many: int) -> np.ndarray:
     return out
 
 
+def lists_needed(x: np.ndarray, mids: np.ndarray, k: int) -> int:
+    """How many of the lists nearest to it hold the k nearest of a vector of x, for ``SURE`` of some of them."""
+    some = np.random.RandomState(10).permutation(len(x))[:256]
+    own, near = (x @ mids.T).argmax(1), (x[some] @ -mids.T).argsort(1).argsort(1)  # list of each vector; places of lists
+    score = x[some] @ x.T
+    score[np.arange(len(some)), some] = -np.inf
+    best = np.argpartition(-score, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((1, 1), int)
+    return int(np.quantile(np.take_along_axis(near, own[best], 1), SURE, method="higher")) + 1
+
+
 def _rows(vectors: pa.Array) -> np.ndarray:
     """A matrix of a slice's vectors of one length."""
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
@@ -121,25 +133,42 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (size["d"] if size else 0))
 
 
+FOUND = pa.schema([("q", pa.int64()), ("at", pa.list_(pa.int64())), ("about", pa.list_(pa.float32()))])
+
+
 def _scored(books: np.ndarray, top: int):
-    """For a part of a list and a group of queries: the best codes of each query."""
-    kind = pa.schema([("q", pa.int64()), ("at", pa.list_(pa.int64())), ("about", pa.list_(pa.float32()))])
+    """For a shard and a group of queries: the best codes of each query, in the lists that it looks through."""
 
     def run(asks: pa.Table, part: pa.Table) -> pa.Table:
         if not asks.num_rows or not part.num_rows:
-            return kind.empty_table()
+            return FOUND.empty_table()
         asks, part = asks.combine_chunks(), part.combine_chunks()
         unit = _unit(_rows(asks["v"].chunk(0))).astype(np.float32)
         codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
         length, ids, keep = part["length"].to_numpy(), part["at"].to_numpy(), min(top, part.num_rows)
+        lists, own = np.unique(part["list"].to_numpy(), return_inverse=True)
+        looked = np.stack([np.isin(lists, np.asarray(x)) for x in asks["lists"].to_pylist()])
         at, about = [], []
         for a in range(0, len(unit), 64):
             tables = np.einsum("qd,mwd->mqw", unit[a : a + 64], books)
             scores = sum(t[:, codes[:, m]] for m, t in enumerate(tables)) / length
+            scores[~looked[a : a + 64][:, own]] = -np.inf
             best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            at += list(ids[best])
-            about += list(np.take_along_axis(scores, best, 1).astype(np.float32))
-        return pa.table([asks["q"], pa.array(at, kind.field(1).type), pa.array(about, kind.field(2).type)], schema=kind)
+            for i, s in zip(best, np.take_along_axis(scores, best, 1), strict=True):
+                at.append(ids[i[np.isfinite(s)]])
+                about.append(s[np.isfinite(s)].astype(np.float32))
+        return pa.table([asks["q"], pa.array(at, FOUND.field(1).type), pa.array(about, FOUND.field(2).type)], schema=FOUND)
+
+    return run
+
+
+def _merged(top: int):
+    """The best of several rows of a query, as one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        at, about = (rows[c].combine_chunks().flatten().to_numpy() for c in ("at", "about"))
+        best = np.lexsort((at, -about))[:top]
+        return pa.table([rows["q"][:1], pa.array([at[best]], FOUND.field(1).type), pa.array([about[best]], FOUND.field(2).type)], schema=FOUND)
 
     return run
 
@@ -179,28 +208,39 @@ def nearest(vectors: DataFrame, k: int = 5, each: int = 50) -> DataFrame:
     codes, _ = scratch.save(mapped(index.select("at", "v").repartition(many), fields, lambda: coded, 512), "codes")
     sizes = {r["list"]: r["n"] for r in codes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(len(mids))])
-    parts = np.maximum(1, -(-held // PART))
+    probes = lists_needed(x, mids, k)
+    # Shards: lists next to each other up to PART vectors together; a larger one is cut into its own.
+    parts, shard_of, full = np.maximum(1, -(-held // PART)), np.zeros(len(mids), np.int64), 0
+    for i, n in enumerate(held):
+        new = i == 0 or full + n > PART or parts[i] > 1
+        shard_of[i] = 0 if i == 0 else shard_of[i - 1] + new
+        full = n if new else full + n
 
     def probed(q: pa.Array, v: pa.Array) -> list:
         order = (_unit(_rows(v)) @ -mids.T).argsort(1, kind="stable")
         before = np.cumsum(held[order], 1) - held[order]
-        look = ((np.arange(len(mids)) < PROBES) | (before < LOOKED)) & (held[order] > 0)
-        return [q, [o[w].astype(np.int32) for o, w in zip(order, look, strict=True)]]
-
-    asks = mapped(wanted.select("q", "v"), {"q": pa.int64(), "lists": pa.list_(pa.int32())}, lambda: probed).select("q", F.explode("lists").alias("list"))
+        look = ((np.arange(len(mids)) < probes) | (before < LOOKED)) & (held[order] > 0)
+        out = [[], [], []]
+        for one, o, w in zip(q.to_pylist(), order, look, strict=True):
+            for s in np.unique(shard_of[o[w]]):
+                out[0].append(one), out[1].append(int(s)), out[2].append(o[w][shard_of[o[w]] == s].astype(np.int32))
+        return out
+
+    asks = mapped(wanted.select("q", "v"), {"q": pa.int64(), "shard": pa.int64(), "lists": pa.list_(pa.int32())}, lambda: probed)
     asks, _ = scratch.save(asks, "asks")
-    crowd = {r["list"]: -(-r["n"] // ASKING) for r in asks.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    how = spark.createDataFrame([(i, int(parts[i]), crowd[i]) for i in crowd], "list int, parts long, groups long")  # LISTS rows at most
-    asks = asks.join(F.broadcast(how), "list").join(wanted, "q")
-    asks = asks.select("q", "v", "list", F.pmod(F.xxhash64("q"), "groups").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    crowd = {r["shard"]: -(-r["n"] // ASKING) for r in asks.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    how = spark.createDataFrame([(int(shard_of[i]), i, int(parts[i]), crowd[shard_of[i]]) for i in range(len(mids)) if shard_of[i] in crowd], "shard long, list int, parts long, groups long")  # LISTS rows at most
+    each = how.groupBy("shard").agg(F.max("parts").alias("parts"), F.max("groups").alias("groups"))
+    asks = asks.join(F.broadcast(each), "shard").join(wanted, "q")
+    asks = asks.select("q", "v", "lists", "shard", F.pmod(F.xxhash64("q"), "groups").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     sides = codes.join(F.broadcast(how), "list")
-    sides = sides.select("at", "code", "length", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.pmod(F.xxhash64("at"), "parts").alias("p"))
-    key = ["list", "g", "p"]
-    found = asks.groupBy(*key).cogroup(sides.groupBy(*key)).applyInArrow(_scored(books, RERANK), "q long, at array<long>, about array<float>")
-    found, _ = scratch.save(found, "found")
+    sides = sides.select("at", "list", "code", "length", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.pmod(F.xxhash64("at"), "parts").alias("p"))
+    key, found_as = ["shard", "g", "p"], "q long, at array<long>, about array<float>"
+    found = asks.groupBy(*key).cogroup(sides.groupBy(*key)).applyInArrow(_scored(books, RERANK), found_as)
+    found, _ = scratch.save(found.withColumn("m", F.pmod(F.xxhash64("at"), F.lit(MERGED))), "found")
     # Of all that a query has looked at.
-    found = found.select("q", F.explode(F.arrays_zip("at", "about")).alias("x")).select("q", "x.at", "x.about")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("about"), "at"))).where(F.col("r") <= RERANK).select("q", "at")
+    some = found.groupBy("q", "m").applyInArrow(_merged(RERANK), found_as)
+    best = some.groupBy("q").applyInArrow(_merged(RERANK), found_as).select("q", F.explode("at").alias("at"))
     pairs = best.join(wanted, "q").join(index.select("at", F.col("v").alias("w")), "at").select("q", "at", "v", "w")
     scored = mapped(pairs, {"q": pa.int64(), "at": pa.int64(), "score": pa.float64()}, lambda: _exact, 1024)
     hits = scored.join(index.select("at", "ids"), "at").select("q", "score", F.explode("ids").alias("vec_id")).distinct()

@@ -289,7 +289,7 @@ def test_nearest_needs_its_codes(spark, monkeypatch):
     v = (rnd.normal(size=(40, 32))[rnd.randint(0, 40, 6000)] + 0.7 * rnd.normal(size=(6000, 32))).astype(np.float32)
     table = spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     ids = np.arange(1, 6001)
-    monkeypatch.setattr(ann, "RERANK", 48)
+    monkeypatch.setattr(ann, "RERANK", 64)
     assert _recall(_found(table, each=100), ids, v) >= 0.9
     monkeypatch.setattr(ann, "fit", lambda x: rnd.normal(size=(ann.BOOKS, ann.WORDS, x.shape[1])).astype(np.float32))
     assert _recall(_found(table, each=100), ids, v) < 0.6
