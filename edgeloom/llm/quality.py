@@ -154,7 +154,7 @@ def start(width: int, seed: int = 5) -> dict[str, np.ndarray]:
     return {"e": draw(width, HIDDEN), "eb": np.zeros(HIDDEN), "v": draw(HIDDEN, GATE), "u": draw(HIDDEN, GATE), "w": draw(GATE), "o": draw(HIDDEN), "ob": np.zeros(1)}
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 8, size: int = 128, rate: float = 0.02, decay: float = 1e-3) -> Model:
+def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 14, size: int = 128, rate: float = 0.02, decay: float = 1e-3) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(1), np.ones(1), {}, float(np.mean(labels)) if len(labels) else 1.0)
     every = np.concatenate(bags)
