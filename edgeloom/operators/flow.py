@@ -3,9 +3,11 @@
 A row (src, dst, depart, arrive) is kept if no row of the pair that arrives earlier or then departs as late. Time falls
 into cells of a window; what arrives in a cell is made of arcs of that cell and the one before.
 
-Cells are counted first. Those whose arcs, sources times targets, and arcs times sources are under fixed bounds are worked off one in
-a task, in order of time: each arc hands on what has reached its start, and arcs of one instant are repeated until they
-hand on nothing new. The arcs of a bounded cell go to two tasks each and nothing else is shuffled.
+Cells are counted first. Those with few arcs are worked off in a task, in order of time: each arc hands on what has reached
+its start, and arcs of one instant are repeated until they hand on nothing new. What a source reaches does not depend on other
+sources. So a task that knows of more than a bound at some instant puts off some of its sources and goes through the arcs
+again for those, and where few cells are heavy their sources are dealt over several tasks. Rows leave a task as they are found.
+The arcs of such a cell go to two tasks each, or these parts, and nothing else is shuffled.
 
 The other cells, however many arcs they have, are worked off together in a fix-point of joins. A round extends only what
 the round before found, by one arc, and keeps what the known rows of the same pairs don't make useless; known rows are
@@ -15,7 +17,10 @@ within a window are left out from the last hop on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,8 +28,12 @@ from pyspark.sql import functions as F
 
 from edgeloom import scratch
 
-#: What one task takes: arcs of a cell and the one before, sources times targets among them, and arcs times sources.
-ARCS, PAIRS, ROWS = 200_000, 1_000_000, 10_000_000
+#: What one task takes: arcs of a cell and the one before, and known pairs (of source and node) at once.
+ARCS, KNOWN = 200_000, 1_000_000
+#: A cell of more arcs times sources is heavy; sources of at most so many heavy cells are dealt over as many tasks.
+HEAVY, TASKS = 10_000_000, 64
+#: Rows that leave a task at once.
+BATCH = 50_000
 REACH = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("depart", pa.int64()), ("arrive", pa.int64())])
 
 
@@ -35,40 +44,105 @@ def _useful(rows: DataFrame) -> DataFrame:
     return best.withColumn("top", F.max("depart").over(before)).where("top is null or depart > top").select("src", "dst", "depart", "arrive")
 
 
-def updates(arcs: list[tuple[int, int, int, bool, bool]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Rows in order of arrival, from arcs (t, a, b, whether a is a source, whether b is a target) in order of t.
+def updates(arcs: Callable[[], Iterable[tuple[int, int, int, bool, bool]]], window: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(t, b, sources, when they last departed): what arrives at t in b. In order of t for a source, not over all.
 
-    latest[b] has, for each source that has reached b, when it last departed.
+    arcs gives (t, a, b, whether a is a source, whether b is a target) in order of t, each time it is called.
     """
+    only: dict[int, float] | None = None  # the sources of this pass, and up to when their rows have gone out
+    while only is None or only:
+        put_off: dict[int, float] = {}
+        yield from _pass(arcs(), window, only, put_off)
+        only = put_off
+
+
+def _pass(arcs: Iterable[tuple[int, int, int, bool, bool]], window: int, only: dict[int, float] | None, put_off: dict[int, float]) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """latest[b] has, for each source that has reached b, when it last departed. put_off gets the sources that are left to a later pass."""
     latest: dict[int, dict[int, int]] = {}
-    k = 0
-    while k < len(arcs):
-        t, end = arcs[k][0], k
-        while end < len(arcs) and arcs[end][0] == t:
-            end += 1
-        changed: dict[tuple[int, int], int] = {}
+    known, most = 0, KNOWN
+
+    def sent(a: int, b: int, t: int, source: bool) -> dict[int, int]:
+        """What arc a, b hands on at t that b doesn't know."""
+        there, low = latest.get(b, {}), t - window
+        out = {}
+        if from_ := latest.get(a):
+            alive = {s: d for s, d in from_.items() if d >= low}
+            if 2 * len(alive) < len(from_):
+                latest[a] = alive
+            out = {s: d for s, d in alive.items() if s != b and there.get(s, low - 1) < d}
+        if source and a not in put_off and (only is None or a in only) and there.get(a, low - 1) < t:
+            out[a] = t
+        return out
+
+    for t, group in groupby(arcs, itemgetter(0)):
+        now = list(group)
+        wanted = {b for _, _, b, _, target in now if target}
+        changed: dict[int, dict[int, int]] = {}
         again = True
         while again:
             again = False
-            for _, a, b, source, _ in arcs[k:end]:
-                there = latest.setdefault(b, {})
-                sent = [(s, d) for s, d in latest.get(a, {}).items() if s != b and t - d <= window and there.get(s, t - window - 1) < d]
-                if source and there.get(a, t - window - 1) < t:
-                    sent.append((a, t))
-                for s, d in sent:
-                    there[s] = changed[s, b] = d
-                again = again or bool(sent)
-            again = again and end - k > 1
-        wanted = {b for _, _, b, _, target in arcs[k:end] if target}
-        yield from ((s, b, d, t) for (s, b), d in changed.items() if b in wanted)
-        k = end
+            for _, a, b, source, _ in now:
+                if new := sent(a, b, t, source):
+                    known += len(new)
+                    latest.setdefault(b, {}).update(new)
+                    changed.setdefault(b, {}).update(new)
+                    again = len(now) > 1
+        for b, new in changed.items():
+            if b in wanted:
+                if only is not None:
+                    new = {s: d for s, d in new.items() if only[s] < t}
+                yield t, b, list(new), list(new.values())
+        if known > most:
+            known = _let_go(latest, t, window, only, put_off)
+            most = max(KNOWN, 2 * known)
+
+
+def _let_go(latest: dict[int, dict[int, int]], t: int, window: int, only: dict[int, float] | None, put_off: dict[int, float]) -> int:
+    """Forget what departed too long ago and, if that leaves over half the bound, all about some sources, but for one; how much is known then."""
+    of: Counter[int] = Counter()
+    for b in list(latest):
+        if alive := {s: d for s, d in latest[b].items() if t - d <= window}:
+            latest[b] = alive
+            of.update(alive.keys())
+        else:
+            del latest[b]
+    known = of.total()
+    if 2 * known <= KNOWN or len(of) < 2:
+        return known
+    gone, first = set(), next(iter(of))
+    for s in sorted(of, key=of.get, reverse=True):
+        if 2 * known > KNOWN and s != first:
+            gone.add(s)
+            known -= of[s]
+    for s in gone:
+        put_off[s] = t if only is None else max(t, only[s])
+    for b in list(latest):
+        if left := {s: d for s, d in latest[b].items() if s not in gone}:
+            latest[b] = left
+        else:
+            del latest[b]
+    return known
 
 
 def _of_cell(window: int):
-    def run(key: tuple, g: pa.Table) -> pa.Table:
-        cell, g = key[0].as_py(), g.sort_by("t")
-        rows = [r for r in updates(list(zip(*(g[c].to_pylist() for c in ("t", "a", "b", "source", "target")), strict=True)), window) if r[3] // window == cell]
-        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=REACH)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = key[0].as_py()
+        g = pa.Table.from_batches(list(batches)).select(["t", "a", "b", "source", "target"]).sort_by("t").combine_chunks()
+
+        def arcs() -> Iterator[tuple[int, int, int, bool, bool]]:
+            for part in g.to_batches(max_chunksize=10_000):
+                yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+        out: tuple[list[int], ...] = ([], [], [], [])
+        for t, b, sources, departs in updates(arcs, window):
+            if t // window == cell:
+                n = len(sources)
+                for column, values in zip(out, (sources, [b] * n, departs, [t] * n), strict=True):
+                    column += values
+                if len(out[0]) >= BATCH:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in out], schema=REACH)
+                    out = ([], [], [], [])
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in out], schema=REACH)
 
     return run
 
@@ -112,15 +186,18 @@ def reach(edges: DataFrame, window_ms: int, sources: DataFrame | None = None, ta
             arcs = arcs.join(ends.select(F.col("entity_id").alias(column), F.lit(True).alias("__in")), column, "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("__in")
     arcs, _ = scratch.save(arcs.withColumn("cell", F.floor(F.col("t") / window_ms)).select("a", "b", "t", "source", "target", "cell"), "arcs")
     here = arcs.select("*", F.explode(F.array("cell", F.col("cell") + 1)).alias("of"))
-    size = here.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(F.col("source"), F.col("a")), 0.02).alias("s"), F.approx_count_distinct("b", 0.02).alias("d"), F.max(F.col("cell") == F.col("of")).alias("own"), F.max("source").alias("any"))
+    size = here.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(F.col("source"), F.col("a")), 0.02).alias("s"), F.max(F.col("cell") == F.col("of")).alias("own"), F.max("source").alias("any"))
     size = size.where("own and any")  # else nothing arrives there
-    size, _ = scratch.save(size.select("of", ((F.col("n") <= ARCS) & (F.col("s") * F.col("d") <= PAIRS) & (F.col("n") * F.col("s") <= ROWS)).alias("small")), "cells")
-    counts = {r["small"]: r["n"] for r in size.groupBy("small").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size, _ = scratch.save(size.select("of", (F.col("n") <= ARCS).alias("small"), (F.col("n") * F.col("s")).alias("work")), "cells")
+    counts = {r["small"]: (r["n"], r["heavy"]) for r in size.groupBy("small").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("work") > HEAVY).alias("heavy")).collect()}
     parts = []
-    if counts.get(True):
-        own = here.join(size.where("small").select("of"), "of").groupBy("of")
-        parts.append(own.applyInArrow(_of_cell(window_ms), "src long, dst long, depart long, arrive long"))
-    if counts.get(False):
+    if True in counts:
+        shares = TASKS // max(1, counts[True][1])
+        dealt = size.where("small").select("of", F.when(F.lit(shares > 1) & (F.col("work") > HEAVY), F.least(F.lit(shares), F.ceil(F.col("work") / HEAVY))).otherwise(F.lit(1)).cast("int").alias("shares"))
+        own = here.join(dealt, "of").select("of", "a", "b", "t", "source", "target", "shares", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        own = own.select("of", "share", "a", "b", "t", (F.col("source") & (F.pmod(F.xxhash64("a"), F.col("shares")) == F.col("share"))).alias("source"), "target")
+        parts.append(own.groupBy("of", "share").applyInArrow(_of_cell(window_ms), "src long, dst long, depart long, arrive long"))
+    if False in counts:
         large = size.where("not small").select("of")
         near = large.select(F.explode(F.array(F.col("of"), F.col("of") - 1)).alias("cell")).distinct()
         some = arcs.join(near, "cell")
