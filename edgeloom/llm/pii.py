@@ -13,11 +13,9 @@ the other a threshold for each kind is calibrated, the least score at which at l
 are positive; a kind without one, or with fewer than ``LEAST`` positive candidates there, adds nothing. Selected candidates are added where they overlap no other span of their
 kind; strict matches always stay.
 
-Fitting takes the first ``MAX_TRAIN`` documents with a candidate, by hashes of doc_id, and for each kind the first
-``OF_KIND`` of those that hold a strict match of it, so that a kind that is rare in the corpus has its threshold too.
-In calibrating a kind, its documents and the others count by the inverse of the share that was drawn of them.
-Documents of more than ``LONGEST`` bytes aren't learnt from, and of rows that repeat a doc_id the one with the smallest
-hash of its text is. Spans are looked for in all whole texts.
+Fitting takes all texts: their examples, as levels of features, are counted once, and gradients are summed over these counts on
+the cluster. ``train`` with a number of documents fits on a drawn sample instead, whose kinds count by the inverse of the share drawn.
+Spans are looked for in all whole texts.
 Null text counts as empty and has no spans; rows that repeat get equal spans; extra columns are ignored; an empty
 table gives an empty result. An address is found from its ``@``, and digits from the start of their run; spans are
 compared with their neighbours only, in order of place. Time is about linear in the text.
@@ -28,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,12 +38,15 @@ from edgeloom import scratch
 from edgeloom.llm.rows import mapped, of_texts
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAIN = 4000
 OF_KIND = 400
 LEAST = 20
 LONGEST = 1 << 20
 TREES, RATE = 40, 0.3
 PRECISION = 0.98
+#: Levels of a feature: level k ends at CUTS[k]; LEVELS are values within them. UNIT of a sum of gradients, and steps of a threshold's logit.
+CUTS = np.array([*(k - 0.5 for k in range(25)), 28.5, 32.5, 40.5, 64.5, 128.5, 255.5])
+LEVELS = np.append(CUTS, CUTS[-1] + 1)
+UNIT, STEP = 1 << 20, 64
 
 #: The strict patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -278,7 +280,82 @@ def _drawn(some: DataFrame, most: int, each: int) -> dict[int, list[float]]:
     return out
 
 
-def train(docs: DataFrame, most: int = MAX_TRAIN, each: int = OF_KIND) -> Model:
+def _histograms(rows: DataFrame, model: Model, at: tuple[int, float] | None = None) -> np.ndarray:
+    """Of rows(x, y, n), gradients and curvatures by feature and level; with a split, of each of its sides. Summed in whole units, so in any order alike."""
+
+    def run(x: pa.Array, y: pa.Array, n: pa.Array) -> list:
+        codes = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)
+        v, y, n = LEVELS[codes], y.to_numpy(), n.to_numpy()
+        p = model.scores(v)
+        sums = [np.rint((y - p) * n * UNIT), np.rint(p * (1 - p) * n * UNIT)]
+        sides = [np.ones(len(v), bool)] if at is None else [v[:, at[0]] <= at[1], v[:, at[0]] > at[1]]
+        out = [[[np.bincount(codes[side, j], s[side], len(LEVELS)) for j in range(codes.shape[1])] for s in sums] for side in sides]
+        return [[np.array(out).tobytes()]]
+
+    got = mapped(rows.select("x", "y", "n"), {"h": pa.binary()}, lambda: run, size=1 << 16).collect()
+    return sum(np.frombuffer(r["h"]) for r in got).reshape(1 if at is None else 2, 2, -1, len(LEVELS)) / UNIT
+
+
+def _cut(hist: np.ndarray) -> tuple[int, float, float, float, float]:
+    """Feature, cut and gain of the best split by a histogram, and the leaves of its sides."""
+    (g, h), (sg, sh) = np.cumsum(hist, 2)[:, :, :-1], hist[:, 0].sum(1)
+    gain = g**2 / (h + 1) + (sg - g) ** 2 / (sh - h + 1) - sg**2 / (sh + 1)
+    f, k = np.unravel_index(gain.argmax(), gain.shape)
+    if gain[f, k] <= 1e-9:
+        return 0, np.inf, 0.0, float(RATE * sg / (sh + 1)), 0.0
+    return int(f), float(CUTS[k]), float(gain[f, k]), float(RATE * g[f, k] / (h[f, k] + 1)), float(RATE * (sg - g[f, k]) / (sh - h[f, k] + 1))
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """held, x (a byte for each feature, its level), y, n: the examples of all texts, equal ones counted."""
+
+    def run(helds: pa.Array, salts: pa.Array, texts: pa.Array) -> list:
+        n: Counter = Counter()
+        for held, salt, text in zip(helds.to_pylist(), salts.to_pylist(), texts.to_pylist(), strict=True):
+            if own := examples(text, salt):
+                codes = np.searchsorted(CUTS, np.array([v for v, _ in own])).astype(np.uint8)
+                n.update((held, c.tobytes(), y) for c, (_, y) in zip(codes, own, strict=True))
+        return [[held for held, _, _ in n], [x for _, x, _ in n], [y for _, _, y in n], list(n.values())]
+
+    hashed = lambda seed, m: F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(m))
+    rows = docs.where("text is not null").select((hashed(4, 3) == 0).alias("held"), hashed(5, 1 << 30).alias("salt"), "text")
+    each = mapped(rows, {"held": pa.bool_(), "x": pa.binary(), "y": pa.int32(), "n": pa.int64()}, lambda: run)
+    return each.groupBy("held", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def train_on_all(docs: DataFrame) -> Model:
+    """The trees of the texts that are not held out, and thresholds of all that are: a pass over the texts, then sums over their counted vectors for each level of a tree."""
+    rows, where = scratch.save(vectors(docs), "vectors")
+    seen, m = rows.where("not held"), Model()
+    total, right = seen.agg(F.sum("n"), F.sum(F.col("n") * F.col("y"))).first()
+    if not total or right in (0, total):
+        return m
+    m.start = float(np.log(right / (total - right)))
+    for _ in range(TREES):
+        f, c, gain, _, _ = _cut(_histograms(seen, m)[0])
+        if gain <= 1e-9:
+            break
+        m.trees.append((f, c, *((j, d, a, b) for j, d, _, a, b in map(_cut, _histograms(seen, m, (f, c))))))
+
+    def run(x: pa.Array, y: pa.Array, n: pa.Array) -> list:
+        v = LEVELS[np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)]
+        return [[round(k) for k in v[:, 0] - 0.5], [int(s) for s in np.floor(m.raw(v) * STEP)], y, n]
+
+    steps = mapped(rows.where("held").select("x", "y", "n"), {"kind": pa.int32(), "step": pa.int32(), "y": pa.int32(), "n": pa.int64()}, lambda: run, size=1 << 16)
+    got = steps.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right")).collect()
+    for k, kind in enumerate(KINDS):
+        own = sorted(((r["step"], r["n"], r["right"]) for r in got if r["kind"] == k), reverse=True)
+        n, right = (np.cumsum([r[i] for r in own]) for i in (1, 2))
+        if len(own) and right[-1] >= LEAST and len(good := np.flatnonzero(right >= PRECISION * n)):
+            m.thresholds[kind] = float(1 / (1 + np.exp(-own[good[-1]][0] / STEP))) - 1e-12
+    scratch.drop(docs.sparkSession, where)
+    return m
+
+
+def train(docs: DataFrame, most: int | None = None, each: int = OF_KIND) -> Model:
+    """Of all documents; with most, of that many and ``each`` more of each kind."""
+    if most is None:
+        return train_on_all(docs)
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").where(F.octet_length("text") <= LONGEST)
     some = rows.where(F.col("text").rlike(r"@|[0-9][^A-Za-z]{5}[0-9]| at .{1,60} dot "))
     drawn = _drawn(some, most, each)

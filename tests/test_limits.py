@@ -6,6 +6,7 @@ import pytest
 from test_engine import found, graph, reached
 
 from edgeloom import measure, scratch
+from edgeloom.llm import pii
 from edgeloom.operators import compose, flow
 from edgeloom.plans.pattern import Pattern
 
@@ -70,3 +71,14 @@ def test_cells_of_many_pairs_need_no_rounds(spark, monkeypatch):
     assert rows() == plain and not rounds
     monkeypatch.setattr(flow, "ARCS", 0)
     assert rows() == plain and rounds
+
+
+def test_pii_learns_from_every_document(spark, monkeypatch):
+    """The examples of all texts are counted, those of rows without an id and of long texts, too."""
+    texts = [f"n{i} a{i}.b@mail.example.com and 1.2.{i}" for i in range(300)] + ["x" * (1 << 20) + " 10.0.0.1", None, ""]
+    docs = spark.createDataFrame([(None if i % 7 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = pii.vectors(docs).collect()
+    assert sum(r.n for r in rows) == sum(len(pii.examples(t, 0)) for t in texts if t) > 900
+    monkeypatch.setattr(pii, "TREES", 3)
+    model = pii.train(docs)
+    assert len(model.trees) == 3 and "email" in model.thresholds
